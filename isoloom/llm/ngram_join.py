@@ -7,11 +7,16 @@ and the one below. A segment's subset has an additive hash, which also gives the
 one-deletion neighbourhood.
 
 Each document allocates weights to its segments at least cost until they add up to H + 1: 0 (not
-probed), 1 (equal subsets) or 2 (subsets one deletion apart). Empty segments carry nothing. Segments all
-of whose shingles are frequent are expensive and come last; larger subsets are cheaper than smaller.
-All non-empty segments are indexed; deletions are indexed by documents that equal subsets alone do not
-serve, because a pair with one document that is served is found by that one. What no weights can serve
-(tiny sets that fell into few segments) meets in one signature of its band. So no link is lost.
+probed), 1 (equal subsets) or 2 (subsets one deletion apart). Empty segments carry nothing. Subsets with
+more rare shingles are cheaper; those all of whose shingles are frequent come last. All non-empty segments
+are indexed; deletions are indexed by documents that equal subsets alone do not serve, because a pair with
+one document that is served is found by that one.
+
+Documents made of frequent shingles mostly can run out of weights. Either such a pair shares a rare
+shingle: those are signatures of their own then. Or all rare shingles of both differ, so their number
+is H at most: frequent subsets are probed too, but only yield pairs of which that holds, as does one
+signature of the band for what no weights can serve. So no link is lost, and what is common to many
+documents does not make pairs of them.
 
 Signatures travel packed: one binary row for each block of documents and bucket. Equal sets are
 collapsed before and after. A bucket yields runs of documents with a common signature, each once, not
@@ -41,7 +46,7 @@ THRESHOLD = 75
 FLUSH, BUCKET = 2_000_000, 600_000
 #: A shingle is frequent from this share of the distinct sets on, and at least so many.
 FREQUENT, FREQUENT_LEAST = 0.005, 64
-PROBE, OWN = 1, 2
+PROBE, OWN, HOT = 1, 2, 4
 _WORDS = splitmix(64, 4242)
 
 
@@ -96,12 +101,19 @@ def edges_of(m: int) -> np.ndarray:
 
 def segments(hi: int, t: int) -> int:
     h = differ(hi + hi * 100 // t, t)
-    return h + 1 + ((h + 1) // 12 + 1 if h else 0)
+    return h + 1 + ((h + 1) // 5 + 1 if h else 0)
+
 
+def signatures(s: np.ndarray, band: int, hi: int, small: int, large: int, own: bool, frequent: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of a set under a band's scheme, with flags.
 
-def signatures(s: np.ndarray, band: int, hi: int, most: int, own: bool, frequent: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of a set under a band's scheme, with flags; `most` is its largest partner's size."""
-    m, need = segments(hi, t), differ(len(s) + most, t) + 1
+    `large` is the size of its largest partner that is not larger than it, `small` that of its largest
+    partner; as the larger of a pair it must serve the former, as the smaller it may leave the pair to
+    its partner if it indexes deletions. Subsets without two rare shingles get no deletions: what a
+    deletion leaves would be as frequent as what it is made of.
+    """
+    m, need = segments(hi, t), differ(len(s) + large, t) + 1
+    alone = differ(len(s) + small, t) + 1
     at = np.concatenate([[0], np.searchsorted(s, edges_of(m)), [len(s)]])
     size = np.diff(at)
     full = np.flatnonzero(size)
@@ -111,44 +123,49 @@ def signatures(s: np.ndarray, band: int, hi: int, most: int, own: bool, frequent
         sums = total[at[1:]] - total[at[:-1]]
         salt = mix(np.arange(m, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band + 1))
         exact = mix(sums[full] + salt[full])
-        hot = np.zeros(len(full), bool)
+        rare = size[full]
         if len(frequent):
             spot = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-            rare = np.concatenate([[0], np.cumsum(frequent[spot] != s)])
-            hot = rare[at[full + 1]] == rare[at[full]]
-        cold = int((~hot).sum())
+            so_far = np.concatenate([[0], np.cumsum(frequent[spot] != s)])
+            rare = so_far[at[full + 1]] - so_far[at[full]]
         flags = np.full(len(full), OWN * own, np.uint8)
-        if cold >= need:
-            cheap = np.lexsort((-size[full], hot))[:need]
-            flags[cheap] |= PROBE
+        by_cost = np.lexsort((-size[full], -rare))
+        cold = int((rare > 0).sum())
+        flags[rare == 0] |= HOT
+        if cold >= alone:
+            flags[by_cost[:alone]] |= PROBE
             return exact, flags
-        flags[~hot] |= PROBE
-        wide = ~hot & (size[full] > 1)
-        lack = need - cold - int(wide.sum())
-        if lack > 0:
-            dear = np.flatnonzero(hot)
-            flags[dear[np.argsort(-size[full][dear], kind="stable")[:lack]]] |= PROBE
-            lack -= len(dear)
-        segment = np.repeat(np.arange(m), size)
-        of_wide = np.zeros(m, bool)
-        of_wide[full[wide]] = True
-        pick = of_wide[segment]
-        deleted = mix(sums[segment[pick]] - value[pick] + salt[segment[pick]])
-        out, marks = [exact, deleted], [flags, np.full(len(deleted), PROBE | OWN * own, np.uint8)]
+        flags[by_cost[: min(need, cold)]] |= PROBE
+        wide = np.flatnonzero(rare > 1)
+        lack = max(0, need - cold)
+        upgraded = wide[np.argsort(-rare[wide], kind="stable")[:lack]]
+        lack -= len(upgraded)
         if lack > 0:
+            flags[by_cost[cold : cold + lack]] |= PROBE
+        mark = np.zeros(m, np.uint8)
+        mark[full[wide]] = 4 | OWN * own
+        mark[full[upgraded]] |= PROBE
+        of_token = np.repeat(mark, size)
+        pick = of_token > 0
+        segment = np.repeat(np.arange(m), size)[pick]
+        deleted = mix(sums[segment] - value[pick] + salt[segment])
+        single = mix((s[frequent[spot] != s] if len(frequent) else s) + np.uint64(band + 1))
+        out, marks = [exact, deleted, single], [flags, of_token[pick] & np.uint8(PROBE | OWN), np.full(len(single), OWN * own | PROBE * (lack > 0), np.uint8)]
+        if lack > len(full) - cold:
             out.append(mix(np.array([band], np.uint64) ^ np.uint64(0x7777777777777777)))
-            marks.append(np.full(1, PROBE | OWN * own, np.uint8))
+            marks.append(np.full(1, PROBE | HOT | OWN * own, np.uint8))
     return np.concatenate(out), np.concatenate(marks)
 
 
-def all_signatures(s: np.ndarray, frequent: np.ndarray, t: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures under the set's own band and, if a partner can be there, the band below."""
+def all_signatures(s: np.ndarray, frequent: np.ndarray, t: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray, int]:
+    """Signatures under the set's own band and, if a partner can be there, the band below; rare shingles."""
     known = bands(t, 1 << 26)
     b = _band(t, len(s))
-    parts = [signatures(s, b, known[b][1], len(s) * 100 // t, True, frequent, t)]
+    parts = [signatures(s, b, known[b][1], len(s) * 100 // t, len(s), True, frequent, t)]
     if b and known[b - 1][1] * 100 >= t * len(s):
-        parts.append(signatures(s, b - 1, known[b - 1][1], known[b - 1][1], False, frequent, t))
-    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        parts.append(signatures(s, b - 1, known[b - 1][1], known[b - 1][1], known[b - 1][1], False, frequent, t))
+    rare = len(s) - np.isin(s, frequent, assume_unique=True).sum() if len(frequent) else len(s)
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), int(rare)
 
 
 @lru_cache(maxsize=8)
@@ -212,18 +229,19 @@ def _batch(columns: list) -> pa.RecordBatch:
 def pack(docs: DataFrame, width: int, t: int, bits: int, frequent: np.ndarray) -> DataFrame:
     """Signatures of distinct sets, packed by flush and bucket."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # 2 * mean set size / FREQUENT entries at most
-    names = ["bucket", "ids", "sizes", "keys", "counts", "signs"]
+    names = ["bucket", "ids", "sizes", "rares", "keys", "counts", "signs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets, keys, _ in _distinct(batches, "id", "text", width):
             if not sets:
                 continue
             made = [all_signatures(s, shared.value, t) for s in sets]
-            owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x, _ in made])
-            sign, flags = np.concatenate([x for x, _ in made]), np.concatenate([f for _, f in made])
+            owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x[0]) for x in made])
+            sign, flags = np.concatenate([x[0] for x in made]), np.concatenate([x[1] for x in made])
+            rares = np.array([x[2] for x in made], np.int32)
             del made
             bucket = (sign >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(sign), np.int32)
-            low = ((sign >> np.uint64(34 - bits)) & np.uint64((1 << 30) - 1)).astype(np.uint32) << np.uint32(2) | flags
+            low = ((sign >> np.uint64(35 - bits)) & np.uint64((1 << 29) - 1)).astype(np.uint32) << np.uint32(3) | flags
             order = np.argsort(bucket, kind="stable")
             bucket, low, owner = bucket[order], low[order], owner[order]
             all_ids, sizes, key = np.array(ids, np.int64), np.array([len(s) for s in sets], np.int32), np.array([k[0] for k in keys], np.int64)
@@ -233,42 +251,50 @@ def pack(docs: DataFrame, width: int, t: int, bits: int, frequent: np.ndarray) -
                 own = owner[b:e]
                 starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
                 docs_here = own[starts]
-                for c, v in zip(columns, (int(bucket[b]), all_ids[docs_here].tobytes(), sizes[docs_here].tobytes(), key[docs_here].tobytes(), np.diff(np.append(starts, e - b)).astype(np.int32).tobytes(), low[b:e].tobytes())):
+                for c, v in zip(columns, (int(bucket[b]), all_ids[docs_here].tobytes(), sizes[docs_here].tobytes(), rares[docs_here].tobytes(), key[docs_here].tobytes(), np.diff(np.append(starts, e - b)).astype(np.int32).tobytes(), low[b:e].tobytes())):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names)
 
-    return docs.mapInArrow(run, "bucket int, ids binary, sizes binary, keys binary, counts binary, signs binary")
+    return docs.mapInArrow(run, "bucket int, ids binary, sizes binary, rares binary, keys binary, counts binary, signs binary")
 
 
 def bucket_runs(pdf: pd.DataFrame) -> pd.DataFrame:
     """Runs of a bucket: distinct sets with a common signature, by size, each once with its count."""
     join = lambda name, kind: np.frombuffer(b"".join(pdf[name]), kind)
-    ids, sizes, keys = join("ids", np.int64), join("sizes", np.int32), join("keys", np.int64)
+    ids, sizes, rares, keys = join("ids", np.int64), join("sizes", np.int32), join("rares", np.int32), join("keys", np.int64)
     owner = np.repeat(np.arange(len(ids)), join("counts", np.int32))
     signs = join("signs", np.uint32)
-    value = signs >> np.uint32(2)
+    value = signs >> np.uint32(3)
     order = np.argsort(value, kind="stable")
-    value, owner, flags = value[order], owner[order], (signs & np.uint32(3)).astype(np.int8)[order]
+    value, owner, flags = value[order], owner[order], (signs & np.uint32(7)).astype(np.int8)[order]
     begin = np.flatnonzero(np.append(True, value[1:] != value[:-1])) if len(value) else np.zeros(0, np.int64)
     end = np.append(begin[1:], len(value))
-    many = end - begin > 1
+    any_flag = np.bitwise_or.reduceat(flags, begin) if len(begin) else np.zeros(0, np.int8)
+    many = (end - begin > 1) & (any_flag & (PROBE | OWN) == PROBE | OWN)
     found: dict[tuple, int] = {}
     for b, e in zip(begin[many].tolist(), end[many].tolist()):
         members: dict[int, list[int]] = {}
+        hot = bool(flags[b:e].max() & HOT)
         for o, f in zip(owner[b:e].tolist(), flags[b:e].tolist()):
             k = int(keys[o])
             if (m := members.get(k)) is None:
-                members[k] = [int(sizes[o]), int(ids[o]), f]
+                members[k] = [int(rares[o]) if hot else 0, int(sizes[o]), int(ids[o]), f & (PROBE | OWN)]
             else:
-                m[1] = min(m[1], int(ids[o]))
-                m[2] |= f
-        if len(members) < 2:
-            continue
-        run = sorted(map(tuple, members.values()))
-        if any(f & PROBE for _, _, f in run) and any(f & OWN for _, _, f in run):
-            run = tuple(run)
+                m[2] = min(m[2], int(ids[o]))
+                m[3] |= f & (PROBE | OWN)
+        if len(members) > 1:
+            run = (hot, *sorted(map(tuple, members.values())))
             found[run] = found.get(run, 0) + 1
-    return pd.DataFrame({"docs": [[r[1] for r in k] for k in found], "sizes": [[r[0] for r in k] for k in found], "flags": [[r[2] for r in k] for k in found], "n": list(found.values())})
+    part = lambda i: [[r[i] for r in k[1:]] for k in found]
+    return pd.DataFrame({"hot": [k[0] for k in found], "rares": part(0), "sizes": part(1), "docs": part(2), "flags": part(3), "n": list(found.values())})
+
+
+def can_link(x: str, y: str, t: int) -> str:
+    """SQL: whether sizes (and in a run of a frequent subset, rare shingles) let two members link.
+
+    Without a common rare shingle they differ in all of those, and in frequent ones by count at least.
+    """
+    return f"least({x}.size, {y}.size) * 100 >= greatest({x}.size, {y}.size) * {t} AND (NOT hot OR {x}.rare + {y}.rare + abs({x}.size - {x}.rare - {y}.size + {y}.rare) <= ({x}.size + {y}.size) * {100 - t} div {100 + t})"
 
 
 def verify(pairs: DataFrame, docs: DataFrame, width: int, t: int) -> DataFrame:
@@ -306,23 +332,23 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_i
     hot = np.sort(np.array([r["k1"] for r in frequent.select("k1").collect()], np.int64).astype(np.uint64))
     bits = min(26, max(5, int(np.ceil(np.log2(max(1.0, 0.7 * counts["shingles"] / BUCKET))))))
     packed = pack(base, width, threshold, bits, hot)
-    runs = packed.groupBy("bucket").applyInPandas(bucket_runs, "docs array<long>, sizes array<int>, flags array<byte>, n long")
-    runs = runs.groupBy(F.xxhash64("docs").alias("r1"), F.xxhash64(F.lit(3), F.col("docs"), F.col("flags")).alias("r2")).agg(F.first(F.struct("docs", "sizes", "flags")).alias("run"), F.sum("n").alias("n"))
-    runs = stored(runs.select("r1", "r2", "run.*", "n"), "join-runs")
-    mates = runs.select("docs", "sizes", "n", F.explode(F.sequence(F.lit(1), F.size("docs") - 1)).alias("i"))
-    mates = mates.where(F.col("sizes")[0] * 100 >= F.col("sizes")[F.col("i")] * threshold).select(F.col("docs")[0].alias("a"), F.col("docs")[F.col("i")].alias("b"), "n")
+    runs = packed.groupBy("bucket").applyInPandas(bucket_runs, "hot boolean, rares array<int>, sizes array<int>, docs array<long>, flags array<byte>, n long")
+    runs = runs.groupBy(F.xxhash64("docs").alias("r1"), F.xxhash64(F.lit(3), F.col("docs"), F.col("flags"), F.col("hot")).alias("r2")).agg(F.first(F.struct("hot", "rares", "sizes", "docs", "flags")).alias("run"), F.sum("n").alias("n"))
+    zipped = F.expr("transform(run.docs, (d, i) -> named_struct('doc', d, 'size', run.sizes[i], 'rare', run.rares[i], 'flag', run.flags[i]))")
+    runs = stored(runs.select("r1", "r2", "run.hot", zipped.alias("members"), "n"), "join-runs")
+    mates = runs.select("hot", F.col("members")[0].alias("x"), "n", F.explode(F.slice("members", F.lit(2), F.size("members") - 1)).alias("y"))
+    mates = mates.where(can_link("x", "y", threshold)).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"), "n")
     best = mates.groupBy("a", "b").agg(F.sum("n").alias("n")).groupBy("b").agg(F.max_by("a", F.struct(F.col("n"), -F.col("a"))).alias("a")).select("a", "b")
     best = stored(best, "join-first")
     links = stored(verify(best, base, width, threshold), "join-links")
     component = stored(connected_components(links), "join-components")
 
-    member = runs.select("r1", "r2", F.explode(F.arrays_zip("docs", "sizes", "flags")).alias("m")).select("r1", "r2", F.col("m.docs").alias("doc"), F.col("m.sizes").alias("size"), F.col("m.flags").alias("flag"))
+    member = runs.select("r1", "r2", "hot", F.explode("members").alias("m")).select("r1", "r2", "hot", "m.*")
     member = member.join(component.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     torn = member.groupBy("r1", "r2").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("r1", "r2")
     member = stored(member.join(torn, ["r1", "r2"], "left_semi"), "join-torn")
-    one, two = member.alias("x"), member.alias("y")
-    rule = (F.col("x.r1") == F.col("y.r1")) & (F.col("x.r2") == F.col("y.r2")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.component") != F.col("y.component"))
-    rule &= (F.least("x.size", "y.size") * 100 >= F.greatest("x.size", "y.size") * threshold) & ((F.col("x.flag").bitwiseOR(F.col("y.flag")).bitwiseAND(F.lit(PROBE | OWN).cast("byte"))) == PROBE | OWN)
+    one, two = member.alias("x"), member.drop("hot").alias("y")
+    rule = F.expr(f"x.r1 = y.r1 AND x.r2 = y.r2 AND x.doc < y.doc AND x.component <> y.component AND ((x.flag | y.flag) & {PROBE | OWN}) = {PROBE | OWN} AND {can_link('x', 'y', threshold)}")
     rest = one.join(two, rule).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
     tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = stored(rest.join(tried, ["a", "b"], "left_anti"), "join-rest")
