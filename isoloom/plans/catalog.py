@@ -1,19 +1,377 @@
-"""Registered queries of the field engine and their DuckDB equivalents."""
+"""Registered queries of the field engine and their DuckDB equivalents.
+
+The SQL is written for a plain engine: range joins are theta joins, components are recursive. Scalar
+formulas are the same text on both sides; how rows meet is not.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from isoloom.functions import scalar as S
+from isoloom.operators import fof, mesh, octree, solid, surface
+from isoloom.operators.octree import CELL, VALUES, Grid
+from isoloom.session import cut
+from isoloom.sources import particles as P
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+WIDE = Grid(0.0, 4.0, 8, 200.0)  # orders
+FINE = Grid(0.0, 4.0, 16, 60.0)  # embeddings
+TREE = Grid(0.0, 4.0, 8, 60.0, 1)
+LINK, LIMIT = 0.16, 1.0
+
+P_ORDER = """P AS (SELECT o_orderkey AS pid, o_totalprice / 125000e0 AS x, o_custkey::double * 4e0 / (SELECT max(o_custkey) + 1 FROM orders)::double AS y,
+ datediff('day', timestamp '1995-01-01', o_orderdate)::double / 602e0 AS z, 0.25e0 AS h FROM orders)"""
+P_EMB = "P AS (SELECT vec_id AS pid, embedding[1]::double * 2e0 + 2e0 AS x, embedding[2]::double * 2e0 + 2e0 AS y, embedding[3]::double * 2e0 + 2e0 AS z, 0.2e0 + 0.01e0 * label::double AS h FROM embeddings)"
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def columns(name: str, view: Query, cte: str, *cols: str, where: str = "true") -> None:
+    """A query that only computes columns of particles."""
+    query(name, f"WITH {cte} SELECT {', '.join(cols)} FROM P WHERE {where}")(lambda s, d: view(s, d).where(where).selectExpr(*cols))
+
+
+def cells_sql(r: int, depth: int = 0) -> str:
+    n = f"unnest(range({r})) AS"
+    return f"X AS (SELECT {n} ix), Y AS (SELECT {n} iy), Z AS (SELECT {n} iz), C AS (SELECT {depth} AS depth, ix::int AS ix, iy::int AS iy, iz::int AS iz FROM X, Y, Z)"
+
+
+def contrib_sql(g: Grid) -> str:
+    lo, hi = g.bounds()
+    return f"K AS (SELECT C.*, P.* FROM C JOIN P ON {S.support_overlaps(lo, hi)})"
+
+
+def samples_sql(g: Grid, source: str = "K", name: str = "V") -> str:
+    lo, hi = g.bounds()
+    sums = [f"CAST(sum({octree.kernel_at(*[hi[k] if b else lo[k] for k, b in enumerate(bits)])}) AS double) AS v{i}" for i, bits in enumerate(S.CORNERS)]
+    inner = f"SELECT depth, ix, iy, iz, count(*) AS n, {', '.join(sums)} FROM {source} GROUP BY depth, ix, iy, iz"
+    iso = S.num(g.isovalue)
+    return f"{name} AS (SELECT *, {S.sign_mask(VALUES, iso)} AS mask, {S.straddles(VALUES, iso)} AS straddles FROM ({inner}))"
+
+
+def hermite_sql(g: Grid) -> str:
+    lo, hi = g.bounds()
+    iso, parts = S.num(g.isovalue), []
+    for e, (a, b) in enumerate(S.EDGES):
+        axis = (a ^ b).bit_length() - 1
+        at = [hi[k] if S.CORNERS[a][k] else lo[k] for k in range(3)]
+        at[axis] = f"({lo[axis]} + ({S.crossing(f'v{a}', f'v{b}', iso)}) * ({hi[axis]} - {lo[axis]}))"
+        parts.append(f"SELECT depth, ix, iy, iz, {e} AS edge, {at[0]} AS px, {at[1]} AS py, {at[2]} AS pz FROM V WHERE mask NOT IN (0, 255) AND ((mask >> {a}) & 1) <> ((mask >> {b}) & 1)")
+    slope = S.kernel_slope(S.distance("px - x", "py - y", "pz - z"), "h")
+    sums = ", ".join(f"CAST(sum(CAST((p{a} - {a}) * ({slope}) AS decimal(28, 9))) AS double) AS g{a}" for a in "xyz")
+    norm = "sqrt(gx * gx + gy * gy + gz * gz)"
+    normal = ", ".join(f"CASE WHEN {norm} <= 1e-12 THEN 0e0 ELSE -g{a} / {norm} END AS n{a}" for a in "xyz")
+    return f"E AS ({' UNION ALL '.join(parts)}), G AS (SELECT depth, ix, iy, iz, edge, px, py, pz, {sums} FROM E JOIN K USING (depth, ix, iy, iz) GROUP BY ALL), H AS (SELECT depth, ix, iy, iz, edge, px, py, pz, {normal} FROM G)"
+
+
+def qef_sql(g: Grid) -> str:
+    """The normal equations solved by elimination, row by row, instead of Cramer's rule."""
+    lo, hi = g.bounds()
+    c = [f"(({lo[i]} + {hi[i]}) / 2e0)" for i in range(3)]
+    d = "(nx * px + ny * py + nz * pz)"
+    m = ", ".join(f"sum(n{a} * n{b}){' + 0.1e0' if a == b else ''} AS m{a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz"))
+    r = ", ".join(f"sum({d} * n{a}) + 0.1e0 * {c[i]} AS r{a}" for i, a in enumerate("xyz"))
+    return f"""Q0 AS (SELECT depth, ix, iy, iz, count(*) AS usable, {m}, {r}, sum(nx) AS sx, sum(ny) AS sy, sum(nz) AS sz FROM H WHERE nx <> 0 OR ny <> 0 OR nz <> 0 GROUP BY depth, ix, iy, iz),
+ Q1 AS (SELECT *, myy - mxy * mxy / mxx AS b22, myz - mxy * mxz / mxx AS b23, mzz - mxz * mxz / mxx AS b33, ry - mxy * rx / mxx AS c2, rz - mxz * rx / mxx AS c3 FROM Q0),
+ Q2 AS (SELECT *, (c3 - b23 * c2 / b22) / (b33 - b23 * b23 / b22) AS qz FROM Q1), Q3 AS (SELECT *, (c2 - b23 * qz) / b22 AS qy FROM Q2), Q4 AS (SELECT *, (rx - mxy * qy - mxz * qz) / mxx AS qx FROM Q3),
+ Q AS (SELECT depth, ix, iy, iz, usable, {', '.join(f'least(greatest(q{a}, {lo[i]}), {hi[i]}) AS v{a}' for i, a in enumerate('xyz'))} FROM Q4)"""
+
+
+# particles -------------------------------------------------------------------------------------------
+
+query("prj1_shift_wrap", f"WITH {P_ORDER} SELECT pid, ((x + 1.3e0) - 4e0 * floor((x + 1.3e0) / 4e0)) AS x, ((y + -2.1e0) - 4e0 * floor((y + -2.1e0) / 4e0)) AS y, ((z + 0.7e0) - 4e0 * floor((z + 0.7e0) / 4e0)) AS z, h FROM P")(
+    lambda s, d: P.shift(P.orders_view(s, d), (1.3, -2.1, 0.7), 4.0)
+)
+_delta = lambda a, c: f"((({a} - {c}e0 + 2e0) - 4e0 * floor(({a} - {c}e0 + 2e0) / 4e0)) - 2e0)"
+query("prj2_crop_periodic", f"WITH {P_ORDER}, D AS (SELECT pid, h, {_delta('x', 0.2)} AS dx, {_delta('y', 3.9)} AS dy, {_delta('z', 2.0)} AS dz FROM P) SELECT pid, dx + 0.75e0 AS x, dy + 0.75e0 AS y, dz + 0.75e0 AS z, h FROM D WHERE abs(dx) <= 0.75e0 AND abs(dy) <= 0.75e0 AND abs(dz) <= 0.75e0")(
+    lambda s, d: P.crop(P.orders_view(s, d), (0.2, 3.9, 2.0), 1.5, 4.0)
+)
+query("prj3_crop_box", f"WITH {P_ORDER} SELECT pid, x - 1e0 AS x, y - 1.25e0 AS y, z - 1.5e0 AS z, h FROM P WHERE x >= 1e0 AND x < 2.5e0 AND y >= 1.25e0 AND y < 2.75e0 AND z >= 1.5e0 AND z < 3e0")(
+    lambda s, d: P.crop(P.orders_view(s, d), (1.75, 2.0, 2.25), 1.5, 4.0, periodic=False)
+)
+query("prj4_tight_bounds", f"WITH {P_EMB}, B AS (SELECT greatest(min(x - h), 0e0) AS x0, greatest(min(y - h), 0e0) AS y0, greatest(min(z - h), 0e0) AS z0, least(max(x + h), 4e0) AS x1, least(max(y + h), 4e0) AS y1, least(max(z + h), 4e0) AS z1 FROM P) SELECT x0, y0, z0, greatest(x1 - x0, y1 - y0, z1 - z0) AS side FROM B")(
+    lambda s, d: P.tight_bounds(P.embeddings_view(s, d), 4.0)
+)
+query("prj6_isovalue", f"WITH {P_EMB} SELECT round(quantile_cont(21e0 / (2e0 * pi() * h * h * h), 0.05), 6) AS isovalue FROM P")(lambda s, d: P.isovalue(P.embeddings_view(s, d), 5).selectExpr("round(isovalue, 6) AS isovalue"))
+_lo, _hi = ["1e0", "1e0", "1e0"], ["2.5e0", "2e0", "3e0"]
+columns("prj8_closed_box", P.orders_view, P_ORDER, "pid", f"{S.closed_box(_lo, _hi)} AS inside")
+columns("prj9_box_predicates", P.orders_view, P_ORDER, "pid", f"{S.box_contains(_lo, _hi)} AS inside", f"{S.box_overlaps(_lo, _hi, ['x - h', 'y - h', 'z - h'], ['x + h', 'y + h', 'z + h'])} AS overlaps")
+
+# scalar functions ------------------------------------------------------------------------------------
+
+_IX = ["CAST(floor(x * 1000e0) AS bigint)", "CAST(floor(y * 1000e0) AS bigint)", "CAST(floor(z * 1000e0) AS bigint)"]
+columns("fn1_morton_encode", P.orders_view, P_ORDER, "pid", f"{S.morton_encode(*_IX)} AS morton")
+columns("fn2_morton_decode", P.orders_view, P_ORDER, "pid", *[f"{S.morton_decode('pid', i)} AS i{a}" for i, a in enumerate("xyz")])
+columns("fn3_pack", P.orders_view, P_ORDER, "pid", f"{S.pack(*_IX)} AS packed")
+_R = S.distance("x - 2e0", "y - 2e0", "z - 2e0")
+columns("fn4_kernel_profile", P.orders_view, P_ORDER, "pid", f"{S.profile(f'({_R} / 2e0)')} AS w")
+columns("fn5_kernel", P.embeddings_view, P_EMB, "pid", f"{S.kernel(_R, '(4e0 * h)')} AS w", f"{S.kernel(_R, '(4e0 * h)', False)} AS raw")
+columns("fn6_kernel_grad", P.embeddings_view, P_EMB, "pid", *[f"({a} - 2e0) * ({S.kernel_slope(_R, '(4e0 * h)')}) AS g{a}" for a in "xyz"])
+columns("fn7_support_overlap", P.orders_view, P_ORDER, "pid", f"{S.support_overlaps(_lo, _hi)} AS touches")
+columns("fn8_bins", P.orders_view, P_ORDER, "pid", *[f"{S.bin_of(a, 0.5, 0.5, 6)} AS i{a}" for a in "xyz"])
+columns("fn10_crossing", P.orders_view, P_ORDER, "pid", f"{S.crossing('x', 'y', '2e0')} AS t")
+_V8 = ["x", "y", "z", "x * y", "y * z", "x + z", "z - x", "h"]
+columns("fn11_straddle", P.orders_view, P_ORDER, "pid", f"{S.straddles(_V8, '2.5e0')} AS straddles")
+columns("fn12_sign_mask", P.orders_view, P_ORDER, "pid", f"{S.sign_mask(_V8, '2e0')} AS mask")
+columns("fn16_trilinear_sign", P.orders_view, P_ORDER, "pid", f"{S.trilinear(_V8, '0.25e0', '0.5e0', '0.75e0')} AS v", f"{S.trilinear(_V8, '0.25e0', '0.5e0', '0.75e0')} >= 2e0 AS inside")
+
+# joins and aggregates --------------------------------------------------------------------------------
+
+_bins = ", ".join(f"CAST(least(greatest(floor({a} / 0.5e0), 0), 7) AS int) AS i{a}" for a in "xyz")
+query("jn1_bin_counts", f"WITH {P_ORDER}, {cells_sql(8)}, B AS (SELECT {_bins} FROM P) SELECT C.ix, C.iy, C.iz, count(B.ix) AS n FROM C LEFT JOIN B USING (ix, iy, iz) GROUP BY ALL")(lambda s, d: octree.bin_counts(P.orders_view(s, d), WIDE))
+query("jn2_query_contributors", f"WITH {P_ORDER} SELECT pid FROM P WHERE {S.support_overlaps(_lo, _hi)}")(lambda s, d: octree.query_box(P.orders_view(s, d), [1.0, 1.0, 1.0], [2.5, 2.0, 3.0]).select("pid"))
+_base = f"WITH {P_ORDER}, {cells_sql(8)}, {contrib_sql(WIDE)}"
+_emb = f"WITH {P_EMB}, {cells_sql(16)}, {contrib_sql(FINE)}, {samples_sql(FINE)}"
+query("jn3_cell_contributors", f"{_base} SELECT ix, iy, iz, pid FROM K")(lambda s, d: octree.contributors(P.orders_view(s, d), WIDE).select("ix", "iy", "iz", "pid"))
+query("jn4_child_contributors", f"WITH {P_EMB}, {cells_sql(16, 1)}, {contrib_sql(WIDE)} SELECT depth, ix, iy, iz, pid FROM K")(
+    lambda s, d: octree.child_contributors(octree.contributors(P.embeddings_view(s, d), WIDE), WIDE).select(*CELL, "pid")
+)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").limit(1)
+    """Top-level cells with contributors: count, sign mask, whether the surface may pass."""
+    found = octree.with_surface(octree.corner_samples(octree.contributors(P.orders_view(spark, sf_dir), WIDE), WIDE), WIDE)
+    return found.select("ix", "iy", "iz", "n", "mask", "straddles")
+
+
+query("m1_straddling_cells", f"{_base}, {samples_sql(WIDE)} SELECT ix, iy, iz, n, mask, straddles FROM V")(flagship)
+query("ag2_corner_samples", f"{_base}, {samples_sql(WIDE)} SELECT ix, iy, iz, {', '.join(VALUES)} FROM V")(
+    lambda s, d: octree.corner_samples(octree.contributors(P.orders_view(s, d), WIDE), WIDE).select("ix", "iy", "iz", *VALUES)
+)
+
+
+@query("ag1_density", f"WITH {P_EMB}, {cells_sql(17)}, Q AS (SELECT ix * 10000 + iy * 100 + iz AS qid, ix * 0.25e0 AS qx, iy * 0.25e0 AS qy, iz * 0.25e0 AS qz FROM C) SELECT qid, count(*) AS n, CAST(sum({octree.kernel_at('qx', 'qy', 'qz')}) AS double) AS density FROM Q JOIN P ON (qx - x) * (qx - x) + (qy - y) * (qy - y) + (qz - z) * (qz - z) < h * h GROUP BY qid")
+def _density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lattice = octree.top_cells(spark, Grid(0.0, 4.0, 17, 0.0)).selectExpr("ix * 10000 + iy * 100 + iz AS qid", *[f"i{a} * 0.25e0 AS q{a}" for a in "xyz"])
+    return octree.density(lattice, P.embeddings_view(spark, sf_dir), FINE)
+
+
+query("ag6_bin_max_h", f"WITH {P_EMB}, B AS (SELECT {_bins}, h FROM P) SELECT ix, iy, iz, max(h) AS max_h FROM B GROUP BY ALL")(
+    lambda s, d: P.embeddings_view(s, d).selectExpr(*[f"{S.bin_of(a, 0.0, 0.5, 8)} AS i{a}" for a in "xyz"], "h").groupBy("ix", "iy", "iz").agg(F.max("h").alias("max_h"))
+)
+
+
+def _mesh_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    contrib = octree.contributors(P.embeddings_view(spark, sf_dir), FINE)
+    return contrib, octree.with_surface(octree.corner_samples(contrib, FINE), FINE)
+
+
+_H6 = ", ".join(f"round({c}, 6) AS {c}" for c in ("px", "py", "pz", "nx", "ny", "nz"))
+_Q6 = ", ".join(f"round(v{a}, 6) AS v{a}" for a in "xyz")
+
+
+@query("ag3_gradient", f"{_emb}, {hermite_sql(FINE)} SELECT ix, iy, iz, edge, round(gx, 6) AS gx, round(gy, 6) AS gy, round(gz, 6) AS gz FROM G")
+def _gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    contrib, v = _mesh_parts(spark, sf_dir)
+    points = octree.hermite(v, contrib, FINE).select(*CELL, "edge", "px", "py", "pz")
+    return octree.gradient(points, CELL, contrib).selectExpr("ix", "iy", "iz", "edge", *[f"round(g{a}, 6) AS g{a}" for a in "xyz"])
+
+
+@query("ag4_hermite", f"{_emb}, {hermite_sql(FINE)} SELECT ix, iy, iz, edge, {_H6} FROM H")
+def _hermite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    contrib, v = _mesh_parts(spark, sf_dir)
+    return octree.hermite(v, contrib, FINE).selectExpr("ix", "iy", "iz", "edge", *[f"round({c}, 6) AS {c}" for c in ("px", "py", "pz", "nx", "ny", "nz")])
+
+
+@query("ag5_qef", f"{_emb}, {hermite_sql(FINE)}, {qef_sql(FINE)} SELECT ix, iy, iz, usable, {_Q6} FROM Q")
+def _qef(spark: SparkSession, sf_dir: str) -> DataFrame:
+    contrib, v = _mesh_parts(spark, sf_dir)
+    return octree.qef(octree.hermite(v, contrib, FINE), FINE).selectExpr("ix", "iy", "iz", "usable", *[f"round(v{a}, 6) AS v{a}" for a in "xyz"])
+
+
+@query("fn14_normal_alignment")
+def _alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    contrib, v = _mesh_parts(spark, sf_dir)
+    return octree.qef(octree.hermite(v, contrib, FINE), FINE).selectExpr("ix", "iy", "iz", "round(alignment, 6) AS alignment", "round(rms, 6) AS rms")
+
+
+# octree ----------------------------------------------------------------------------------------------
+
+query("ot1_top_cells", f"WITH {cells_sql(8)} SELECT depth, ix, iy, iz, {S.morton_encode('ix', 'iy', 'iz')} AS morton FROM C")(lambda s, d: octree.top_cells(s, WIDE).selectExpr(*CELL, f"{S.morton_encode('ix', 'iy', 'iz')} AS morton"))
+query("ot2_children", f"WITH {cells_sql(16, 1)} SELECT depth, ix, iy, iz FROM C")(lambda s, d: octree.children(octree.top_cells(s, WIDE)).select(*CELL))
+_T0 = f"WITH {P_EMB}, {cells_sql(8)}, {contrib_sql(TREE)}, {samples_sql(TREE)}, L0 AS (SELECT C.*, coalesce(n, 0) AS n, coalesce(mask, 0) AS mask, coalesce(n >= 2 AND straddles, false) AS split FROM C LEFT JOIN V USING (depth, ix, iy, iz))"
+_T1 = f"{_T0}, C1 AS (SELECT 1 AS depth, ix * 2 + a AS ix, iy * 2 + b AS iy, iz * 2 + c AS iz FROM L0, (SELECT unnest([0, 1]) AS a) A, (SELECT unnest([0, 1]) AS b) B, (SELECT unnest([0, 1]) AS c) D WHERE split), K1 AS (SELECT C1.*, P.* FROM C1 JOIN P ON {S.support_overlaps(*TREE.bounds())}), {samples_sql(TREE, 'K1', 'V1')}, T AS (SELECT depth, ix, iy, iz, NOT split AS is_leaf, mask, n FROM L0 UNION ALL SELECT C1.*, true, coalesce(mask, 0), coalesce(n, 0) FROM C1 LEFT JOIN V1 USING (depth, ix, iy, iz))"
+_tree = lambda s, d: octree.refine(P.embeddings_view(s, d), TREE, min_usable=13)  # noqa: E731  no cell has 13 edges: all with a surface are split
+query("ot4_refine", f"{_T1} SELECT * FROM T")(lambda s, d: _tree(s, d).selectExpr(*CELL, "is_leaf", "mask", "n"))
+query("ot4_refine_adaptive")(lambda s, d: octree.refine(P.embeddings_view(s, d), Grid(0.0, 4.0, 8, 60.0, 2)).selectExpr(*CELL, "is_leaf", "is_active", "mask", "n"))
+query(
+    "snk5_tree_summary",
+    f"{_T1} SELECT depth, count(*) AS total, count(*) FILTER (is_leaf) AS leaf, count(*) FILTER (NOT is_leaf) AS internal, count(*) FILTER (mask NOT IN (0, 255)) AS surface FROM T GROUP BY ROLLUP (depth)",
+)(lambda s, d: octree.tree_summary(_tree(s, d)).select("depth", "total", "leaf", "internal", "surface"))
+
+
+def _corner_tree(spark: SparkSession) -> DataFrame:
+    """Cells split once and again towards one corner of a 4^3 grid."""
+    deep = spark.range(1).selectExpr("0 AS depth", "1 AS ix", "1 AS iy", "1 AS iz")
+    top = octree.top_cells(spark, Grid(0.0, 4.0, 4, 0.0))
+    for depth in range(3):
+        split = deep if depth == 0 else split_next
+        top = top.join(split, CELL, "left_anti").unionByName(octree.children(split).select(*CELL))
+        split_next = octree.children(split).where("child = 7").select(*CELL)
+    return top
+
+
+query("ot5_balance")(lambda s, d: octree.balance(_corner_tree(s), 3))
+query("jn5_leaf_lookup", f"{_T1} SELECT pid, t.depth, t.ix, t.iy, t.iz FROM P JOIN T t ON t.is_leaf AND floor(x / (0.5e0 / (1 << t.depth))) = t.ix AND floor(y / (0.5e0 / (1 << t.depth))) = t.iy AND floor(z / (0.5e0 / (1 << t.depth))) = t.iz")(
+    lambda s, d: octree.leaf_lookup(P.embeddings_view(s, d).selectExpr("pid", *[f"CAST(floor({a} / 0.25e0) AS int) AS j{a}" for a in "xyz"]), _tree(s, d).where("is_leaf"), 1, []).select("pid", *CELL)
+)
+
+# groups ----------------------------------------------------------------------------------------------
+
+_PAIRS = f"F AS (SELECT s.pid AS a, t.pid AS b FROM P s JOIN P t ON s.pid < t.pid AND (s.x - t.x) * (s.x - t.x) + (s.y - t.y) * (s.y - t.y) + (s.z - t.z) * (s.z - t.z) < {S.num(LINK * LINK)})"
+_GROUPS = f"WITH RECURSIVE {P_EMB}, {_PAIRS}, E AS (SELECT a, b FROM F UNION ALL SELECT b, a FROM F), R(pid, root) AS (SELECT pid, pid FROM P UNION SELECT E.b, R.root FROM R JOIN E ON E.a = R.pid), M AS (SELECT pid, min(root) AS root FROM R GROUP BY pid), GR AS (SELECT pid, dense_rank() OVER (ORDER BY root) - 1 AS grp FROM M)"
+_labels = lambda s, d: fof.cluster(P.embeddings_view(s, d), LINK)
+query("jn7_fof_pairs", f"WITH {P_EMB}, {_PAIRS} SELECT a, b FROM F")(lambda s, d: fof.pairs(P.embeddings_view(s, d), LINK))
+query("gr1_fof", f"{_GROUPS} SELECT pid, grp FROM GR")(lambda s, d: _labels(s, d).withColumnRenamed("group", "grp"))
+query("ag14_group_sizes", f"{_GROUPS} SELECT grp, count(*) AS size FROM GR GROUP BY grp")(lambda s, d: _labels(s, d).groupBy(F.col("group").alias("grp")).agg(F.count("*").alias("size")))
+query("prj7_fof_filter", f"{_GROUPS}, Z AS (SELECT grp FROM GR GROUP BY grp HAVING count(*) >= 5) SELECT pid, grp FROM GR JOIN Z USING (grp)")(
+    lambda s, d: fof.drop_small(P.embeddings_view(s, d).select("pid"), _labels(s, d), 5).withColumnRenamed("group", "grp").select("pid", "grp")
+)
+
+# surface ---------------------------------------------------------------------------------------------
+
+_VERTS = f"{_emb}, {hermite_sql(FINE)}, {qef_sql(FINE)}, VT AS (SELECT *, row_number() OVER (ORDER BY depth, {S.morton_encode('ix', 'iy', 'iz')}) - 1 AS vid FROM Q)"
+
+
+def _leaves(spark: SparkSession, sf_dir: str, contrib: DataFrame) -> DataFrame:
+    v = octree.corner_samples(contrib, FINE)
+    return octree.top_cells(spark, FINE).join(v, CELL, "left").selectExpr(*CELL, *[f"coalesce({c}, 0e0) AS {c}" for c in VALUES])
+
+
+def _surface(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    contrib = cut(octree.contributors(P.embeddings_view(spark, sf_dir), FINE))
+    leaves = cut(_leaves(spark, sf_dir, contrib))
+    verts = cut(surface.vertices(leaves, contrib, FINE))
+    return verts, surface.faces(leaves, verts, FINE)
+
+
+@query("ms1_vertices", f"{_VERTS} SELECT vid, {_Q6} FROM VT")
+def _vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _surface(spark, sf_dir)[0].selectExpr("vid", *[f"round({a}, 6) AS v{a}" for a in "xyz"])
+
+
+def _faces_sql() -> str:
+    parts = []
+    for axis, a in enumerate("xyz"):
+        step = ", ".join(f"s.j{b} + {int(a == b)}" for b in "xyz")
+        cells = " ".join(f"JOIN VT c{k} ON c{k}.ix = s.jx - {d[0]} AND c{k}.iy = s.jy - {d[1]} AND c{k}.iz = s.jz - {d[2]}" for k, d in enumerate(surface.AROUND[axis]))
+        rest = " AND ".join(f"s.j{b} > 0" for b in "xyz" if b != a)
+        parts.append(f"SELECT s.inside, c0.vid AS a, c1.vid AS b, c2.vid AS c, c3.vid AS d FROM SG s JOIN SG t ON (t.jx, t.jy, t.jz) = ({step}) {cells} WHERE s.inside <> t.inside AND {rest}")
+    sign = f"SG AS (SELECT C.ix AS jx, C.iy AS jy, C.iz AS jz, coalesce(v0, 0) >= {S.num(FINE.isovalue)} AS inside FROM C LEFT JOIN V USING (depth, ix, iy, iz))"
+    turn = "SELECT CASE WHEN inside THEN [d, c, b, a] ELSE [a, b, c, d] END AS r FROM QD"
+    return f"{_VERTS}, {sign}, QD AS ({' UNION ALL '.join(parts)}), RG AS ({turn}) SELECT r[1] AS v0, r[2] AS v1, r[3] AS v2 FROM RG UNION ALL SELECT r[1], r[3], r[4] FROM RG"
+
+
+_FACES = _faces_sql()
+_FT = f"WITH FT AS ({_FACES}), ED AS (SELECT least(v0, v1) AS a, greatest(v0, v1) AS b FROM FT UNION ALL SELECT least(v1, v2), greatest(v1, v2) FROM FT UNION ALL SELECT least(v2, v0), greatest(v2, v0) FROM FT)"
+query("ms6_faces", _FACES)(lambda s, d: _surface(s, d)[1])
+query("ag9_edge_counts", f"{_FT} SELECT a, b, count(*) AS n FROM ED GROUP BY a, b")(lambda s, d: mesh.edge_counts(_surface(s, d)[1]))
+query("jn10_triangle_adjacency", f"{_FT} SELECT a AS src, b AS dst FROM ED UNION SELECT b, a FROM ED")(lambda s, d: mesh.adjacency(_surface(s, d)[1]))
+
+
+def _points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A mesh over customers: no field, so that mesh operators are tested by themselves."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    verts = c.selectExpr("c_custkey AS vid", "c_acctbal / 1000e0 AS x", "CAST(c_nationkey AS double) AS y", "CAST(c_custkey % 37 AS double) AS z")
+    faces = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey AS v0", "c_custkey + 1 AS v1", "c_custkey + 2 AS v2").where("v0 % 5 <> 0")
+    faces = faces.join(verts.selectExpr("vid AS v1"), "v1", "left_semi").join(verts.selectExpr("vid AS v2"), "v2", "left_semi")
+    return verts, faces.select("v0", "v1", "v2")
+
+
+_MESH = "VX AS (SELECT c_custkey AS vid, c_acctbal / 1000e0 AS x, c_nationkey::double AS y, (c_custkey % 37)::double AS z FROM customer), FX AS (SELECT c_custkey AS v0, c_custkey + 1 AS v1, c_custkey + 2 AS v2 FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey + 1 IN (SELECT vid FROM VX) AND c_custkey + 2 IN (SELECT vid FROM VX)), EX AS (SELECT DISTINCT least(s, t) AS a, greatest(s, t) AS b FROM (SELECT v0 AS s, v1 AS t FROM FX UNION ALL SELECT v1, v2 FROM FX UNION ALL SELECT v2, v0 FROM FX)), AX AS (SELECT a AS src, b AS dst FROM EX UNION ALL SELECT b, a FROM EX)"
+_LAP = "L{n} AS (SELECT p.vid, " + ", ".join(f"CASE WHEN m.m{a} IS NULL THEN p.{a} ELSE (1e0 - 0.3e0) * p.{a} + 0.3e0 * m.m{a} END AS {a}" for a in "xyz") + " FROM {p} p LEFT JOIN (SELECT src, " + ", ".join(f"CAST(sum(CAST(q.{a} AS decimal(28, 9))) AS double) / count(*) AS m{a}" for a in "xyz") + " FROM AX JOIN {p} q ON q.vid = dst GROUP BY src) m ON m.src = p.vid)"
+query("mp1_laplacian", f"WITH {_MESH}, {_LAP.format(n=1, p='VX')}, {_LAP.format(n=2, p='L1')} SELECT vid, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM L2")(
+    lambda s, d: mesh.laplacian(_points(s, d)[0], mesh.adjacency(_points(s, d)[1]), 2, 0.3).selectExpr("vid", *[f"round({a}, 6) AS {a}" for a in "xyz"])
+)
+_N = "(y1-y0)*(z2-z0)-(z1-z0)*(y2-y0) AS fx, (z1-z0)*(x2-x0)-(x1-x0)*(z2-z0) AS fy, (x1-x0)*(y2-y0)-(y1-y0)*(x2-x0) AS fz"
+query("ag12_vertex_normals", f"WITH {_MESH}, W AS (SELECT v0, v1, v2, a.x AS x0, a.y AS y0, a.z AS z0, b.x AS x1, b.y AS y1, b.z AS z1, c.x AS x2, c.y AS y2, c.z AS z2 FROM FX JOIN VX a ON a.vid = v0 JOIN VX b ON b.vid = v1 JOIN VX c ON c.vid = v2), N AS (SELECT *, {_N} FROM W), U AS (SELECT v0 AS vid, fx, fy, fz FROM N UNION ALL SELECT v1, fx, fy, fz FROM N UNION ALL SELECT v2, fx, fy, fz FROM N), T AS (SELECT vid, CAST(sum(CAST(fx AS decimal(28, 9))) AS double) AS x, CAST(sum(CAST(fy AS decimal(28, 9))) AS double) AS y, CAST(sum(CAST(fz AS decimal(28, 9))) AS double) AS z FROM U GROUP BY vid), D AS (SELECT *, sqrt(x * x + y * y + z * z) AS d FROM T) SELECT vid, " + ", ".join(f"round(CASE WHEN d <= 1e-12 THEN 0e0 ELSE {a} / d END, 6) AS n{a}" for a in "xyz") + " FROM D")(
+    lambda s, d: mesh.vertex_normals(*_points(s, d)).selectExpr("vid", *[f"round(n{a}, 6) AS n{a}" for a in "xyz"])
+)
+query("mp7_print_scale", f"WITH {_MESH}, B AS (SELECT greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) AS span FROM VX) SELECT vid, x * (100e0 / span) AS x, y * (100e0 / span) AS y, z * (100e0 / span) AS z FROM VX, B")(lambda s, d: mesh.scale_to_print(_points(s, d)[0], 10.0))
+query("mp8_merge", f"WITH {_MESH}, T AS (SELECT max(vid) + 1 AS top FROM VX) SELECT v0, v1, v2 FROM FX UNION ALL SELECT v0 + top, v1 + top, v2 + top FROM FX, T")(lambda s, d: mesh.merge(_points(s, d), _points(s, d))[1])
+query("mp2_subdivide")(lambda s, d: mesh.subdivide_long(*_points(s, d), _points(s, d)[0].selectExpr("vid", "4e0 AS size"), 1.5)[1])
+query("ag10_edge_segments", f"WITH {_MESH}, S AS (SELECT a, b, sqrt((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y) + (q.z - p.z) * (q.z - p.z)) AS len FROM EX JOIN VX p ON p.vid = a JOIN VX q ON q.vid = b) SELECT count(*) + sum(CASE WHEN len > 6e0 THEN ceil(len / 6e0) - 1 ELSE 0 END)::bigint - count(*) + (SELECT count(*) FROM VX) AS vertices FROM S")(
+    lambda s, d: mesh.subdivide_long(*_points(s, d), _points(s, d)[0].selectExpr("vid", "4e0 AS size"), 1.5)[0].agg(F.count("*").alias("vertices"))
+)
+query("gr8_islands", f"WITH RECURSIVE {_MESH}, R(vid, root) AS (SELECT src, src FROM AX UNION SELECT AX.dst, R.root FROM R JOIN AX ON AX.src = R.vid), M AS (SELECT vid, min(root) AS component FROM R GROUP BY vid) SELECT component, count(*) AS faces FROM FX JOIN M ON M.vid = v0 GROUP BY component")(
+    lambda s, d: mesh.islands(*_points(s, d)).select("component", "faces")
+)
+
+# solids ----------------------------------------------------------------------------------------------
+
+_lid = "ix * 10000 + iy * 100 + iz"
+_SOLID = f"WITH RECURSIVE {_emb[5:]}, CV AS (SELECT ix, iy, iz, CAST(sum({octree.kernel_at(*[f'((ix + 0.5e0) * 0.25e0)'.replace('ix', f'i{a}') for a in 'xyz'])}) AS double) AS c FROM K GROUP BY ix, iy, iz), SL AS (SELECT {_lid} AS lid, C.ix, C.iy, C.iz, coalesce(c, 0) AS center_value, coalesce(c, 0) >= 60e0 OR " + " + ".join(f"CAST(coalesce({v}, 0) >= 60e0 AS int)" for v in VALUES) + " >= 4 AS inside FROM C LEFT JOIN V USING (depth, ix, iy, iz) LEFT JOIN CV ON (CV.ix, CV.iy, CV.iz) = (C.ix, C.iy, C.iz)), NB AS (SELECT a.lid, b.lid AS nid FROM SL a JOIN SL b ON abs(a.ix - b.ix) + abs(a.iy - b.iy) + abs(a.iz - b.iz) = 1)"
+_SOLID = _SOLID.replace("SELECT ix * 10000 + iy * 100 + iz AS lid", "SELECT C.ix * 10000 + C.iy * 100 + C.iz AS lid")
+
+
+def _solid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    contrib = cut(octree.contributors(P.embeddings_view(spark, sf_dir), FINE))
+    leaves = cut(_leaves(spark, sf_dir, contrib).withColumn("lid", F.expr(_lid)))
+    return cut(solid.classify(leaves, contrib, FINE)), cut(solid.face_neighbours(leaves.select("lid", *CELL), FINE))
+
+
+_OCC = "OC AS (SELECT s.lid, s.inside, CASE WHEN bool_or(s.inside <> n.inside) THEN (CASE WHEN s.inside THEN 2 ELSE 3 END) ELSE (CASE WHEN s.inside THEN 1 ELSE 0 END) END AS occupancy FROM SL s JOIN NB ON NB.lid = s.lid JOIN SL n ON n.lid = NB.nid GROUP BY s.lid, s.inside)"
+_CLEAR = f"{_OCC}, CL(lid, steps) AS (SELECT lid, 0 FROM OC WHERE occupancy = 2 UNION SELECT NB.nid, steps + 1 FROM CL JOIN NB USING (lid) JOIN SL n ON n.lid = NB.nid AND n.inside WHERE steps < 4), CD AS (SELECT lid, min(steps) * 0.25e0 AS dist FROM CL GROUP BY lid)"
+_OUT = "OD AS (SELECT lid, min(steps) * 0.25e0 AS dist FROM OW GROUP BY lid)"
+query("jn6_face_neighbours", f"{_SOLID} SELECT lid, nid FROM NB")(lambda s, d: _solid(s, d)[1].select("lid", "nid"))
+query("so2_occupancy", f"{_SOLID}, {_OCC} SELECT lid, occupancy FROM OC")(lambda s, d: solid.occupancy(*_solid(s, d)))
+
+
+@query("gr3_outside_distance", f"{_SOLID}, OW(lid, steps) AS (SELECT DISTINCT s.lid, 0 FROM SL s JOIN NB USING (lid) JOIN SL n ON n.lid = NB.nid WHERE s.inside AND NOT n.inside UNION SELECT NB.nid, steps + 1 FROM OW JOIN NB USING (lid) JOIN SL n ON n.lid = NB.nid AND NOT n.inside WHERE steps < 4), {_OUT} SELECT lid, dist FROM OD")
+def _outside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return solid.outside_distance(*_solid(spark, sf_dir), LIMIT).where("dist IS NOT NULL")
+
+
+def _eroded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    s, nbr = _solid(spark, sf_dir)
+    clear = solid.clearance(s, nbr, solid.occupancy(s, nbr), LIMIT)
+    return s, nbr, cut(solid.erode(s, clear, 0.25))
+
+
+query("gr4_clearance", f"{_SOLID}, {_CLEAR} SELECT lid, dist FROM CD")(lambda s, d: (lambda a: solid.clearance(a[0], a[1], solid.occupancy(*a), LIMIT))(_solid(s, d)))
+_ERO = f"{_CLEAR}, ER AS (SELECT s.lid FROM SL s LEFT JOIN CD USING (lid) WHERE inside AND (dist IS NULL OR dist >= 0.25e0))"
+query("so5_erode", f"{_SOLID}, {_ERO} SELECT lid FROM ER")(lambda s, d: _eroded(s, d)[2])
+_DIL = f"{_ERO}, DW(lid, steps) AS (SELECT lid, 0 FROM ER UNION SELECT NB.nid, steps + 1 FROM DW JOIN NB USING (lid) WHERE steps < 1), OP AS (SELECT DISTINCT lid FROM DW)"
+
+
+def _opened(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    s, nbr, eroded = _eroded(spark, sf_dir)
+    return s, nbr, cut(solid.dilate(eroded, solid.mask_distance(s, nbr, eroded, 0.25), 0.25))
+
+
+query("gr5_dilation_distance", f"{_SOLID}, {_DIL} SELECT lid, min(steps) * 0.25e0 AS dist FROM DW GROUP BY lid")(lambda s, d: (lambda a: solid.mask_distance(a[0], a[1], a[2], 0.25))(_eroded(s, d)))
+query("so4_dilate", f"{_SOLID}, {_DIL} SELECT lid FROM OP")(lambda s, d: _opened(s, d)[2])
+_EXP = "XF AS (SELECT o.lid, 6 - count(n.lid) AS exposed FROM OP o LEFT JOIN NB ON NB.lid = o.lid LEFT JOIN OP n ON n.lid = NB.nid GROUP BY o.lid)"
+query("so7_edge_contacts", f"{_SOLID}, {_DIL}, {_EXP} SELECT lid FROM XF WHERE exposed < 5")(lambda s, d: (lambda a: solid.drop_contacts(a[2], a[1]))(_opened(s, d)))
+query("so8_boundary", f"{_SOLID}, {_DIL}, {_EXP} SELECT lid, exposed::bigint AS n FROM XF WHERE exposed > 0")(
+    lambda s, d: (lambda a: solid.boundary_samples(a[2], a[0], a[1], FINE))(_opened(s, d)).groupBy("lid").agg(F.count("*").alias("n"))
+)
+query("so9_blocky_surface", f"{_SOLID}, {_DIL}, {_EXP} SELECT 2 * sum(exposed)::bigint AS triangles FROM XF")(
+    lambda s, d: (lambda a: solid.blocky_surface(a[2], a[0], FINE)[1])(_opened(s, d)).agg(F.count("*").alias("triangles"))
+)
+_COMP = "PR(lid, root) AS (SELECT lid, lid FROM OP UNION SELECT NB.nid, PR.root FROM PR JOIN NB USING (lid) JOIN OP o ON o.lid = NB.nid), PC AS (SELECT lid, min(root) AS component FROM PR GROUP BY lid), PV AS (SELECT component, count(*) AS n FROM PC GROUP BY component)"
+query("gr6_prune", f"{_SOLID}, {_DIL}, {_COMP} SELECT lid FROM PC JOIN PV USING (component) WHERE n >= 0.05e0 * (SELECT max(n) FROM PV)")(lambda s, d: (lambda a: solid.prune(a[2], a[0], a[1]))(_opened(s, d)))
+query("gr7_cavities")(lambda s, d: (lambda a: solid.fill_cavities(a[2], a[0], a[1]))(_opened(s, d)))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
