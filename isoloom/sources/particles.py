@@ -81,7 +81,7 @@ def tight_bounds(p: DataFrame, box: float) -> DataFrame:
 def tighten(p: DataFrame, box: float) -> tuple[DataFrame, float, tuple[float, float, float]]:
     """Move the particles to their bounding cube: particles, side, origin. Empty input is an error."""
     b = tight_bounds(p, box).first()
-    if b["side"] is None:
+    if p.isEmpty():
         raise ValueError("no particles: the selection is empty")
     if b["side"] <= 0:
         return p, box, (0.0, 0.0, 0.0)
