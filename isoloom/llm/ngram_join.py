@@ -18,10 +18,13 @@ is H at most: frequent subsets are probed too, but only yield pairs of which tha
 signature of the band for what no weights can serve. So no link is lost, and what is common to many
 documents does not make pairs of them.
 
-Signatures travel packed: one binary row for each block of documents and bucket. Equal sets are
-collapsed before and after. A bucket yields runs of documents with a common signature, each once, not
+Signatures travel packed: one binary row for each block of documents and bucket, with ids as byte planes of
+differences; set sizes and classes of equal sets are joined to the runs that come back. A bucket yields runs of documents with a common signature, each once, not
 their pairs. First every document is verified against the run mate it shares most signatures with;
 components of these links shrink the runs, and only pairs of different components are then verified.
+Each set has a parity sketch: SKETCH words whose bits are the parities of the shingles that fall on
+them. Two sketches differ in at most as many bits as the sets do in shingles, so pairs with more
+differing bits than a link allows are left out of verification, and no link is.
 Verification recomputes both shingle sets and is exact up to 64-bit hashes.
 """
 
@@ -47,6 +50,11 @@ FLUSH, BUCKET = 2_000_000, 600_000
 #: A shingle is frequent from this share of the distinct sets on, and at least so many.
 FREQUENT, FREQUENT_LEAST = 0.005, 64
 PROBE, OWN, HOT = 1, 2, 4
+#: 64-bit words of a parity sketch.
+SKETCH = 8
+SKETCH_COLUMNS = [f"s{i}" for i in range(SKETCH)]
+#: Up to so many ids (8 bytes each) are broadcast to pick the texts to verify; beyond, the join shuffles.
+BROADCAST_IDS = 1_000_000
 _WORDS = splitmix(64, 4242)
 
 
@@ -77,6 +85,22 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
+def parity_sketch(s: np.ndarray) -> np.ndarray:
+    """SKETCH signed longs: for each bit, whether an odd number of shingles falls on it."""
+    odd = np.bincount((s % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Bytes of the values by place, all first bytes first; small numbers then compress well."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+
+
+def unplanes(data: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
+
+
 def differ(total: int, t: int = THRESHOLD) -> int:
     """Shingles in which two sets of `total` elements together may differ."""
     return total * (100 - t) // (100 + t)
@@ -207,63 +231,67 @@ def _distinct(batches: Iterable[pa.RecordBatch], id_column: str, text: str, widt
 
 
 def describe(docs: DataFrame, width: int) -> DataFrame:
-    """`(kind, id, n, k1, k2)`: kind 0, a row's id, set size and set key; kind 1, in k1 a shingle that
-    n distinct sets of a flush have."""
+    """`(kind, id, n, k1, k2, s0...)`: kind 0, a row's id, set size, set key and sketch; kind 1, in k1 a
+    shingle that n distinct sets of a flush have."""
+    names = ["kind", "id", "n", "k1", "k2", *SKETCH_COLUMNS]
+
+    def batch(kind: int, ids: list, n: np.ndarray, k1: np.ndarray, k2: np.ndarray, sketches: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array(np.full(len(ids), kind, np.int8)), *(pa.array(c, pa.int64()) for c in (ids, n, k1, k2)), *(pa.array(np.ascontiguousarray(c)) for c in sketches.T)]
+        return pa.RecordBatch.from_arrays(columns, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets, _, rows in _distinct(batches, "id", "text", width):
-            columns = [np.zeros(len(rows), np.int8), [r[0] for r in rows], [r[1] for r in rows], [r[2][0] for r in rows], [r[2][1] for r in rows]]
-            yield _batch(columns)
+        none = np.zeros(SKETCH, np.int64)
+        for _, sets, keys, rows in _distinct(batches, "id", "text", width):
+            of = {k: parity_sketch(s) for k, s in zip(keys, sets)}
+            key = np.array([r[2] for r in rows], np.int64)
+            yield batch(0, [r[0] for r in rows], np.array([r[1] for r in rows], np.int64), key[:, 0], key[:, 1], np.stack([of.get(r[2], none) for r in rows]))
             values, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             keep = counts >= max(8, FREQUENT * len(sets))
-            yield _batch([np.ones(int(keep.sum()), np.int8), np.zeros(int(keep.sum()), np.int64), counts[keep], values[keep].astype(np.int64), np.zeros(int(keep.sum()), np.int64)])
-
-    return docs.mapInArrow(run, "kind byte, id long, n long, k1 long, k2 long")
-
+            zero = np.zeros(int(keep.sum()), np.int64)
+            yield batch(1, zero, counts[keep], values[keep].astype(np.int64), zero, np.zeros((len(zero), SKETCH), np.int64))
 
-def _batch(columns: list) -> pa.RecordBatch:
-    kinds = (pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["kind", "id", "n", "k1", "k2"])
+    return docs.mapInArrow(run, "kind byte, id long, n long, k1 long, k2 long, " + ", ".join(f"{c} long" for c in SKETCH_COLUMNS))
 
 
 def pack(docs: DataFrame, width: int, t: int, bits: int, frequent: np.ndarray) -> DataFrame:
     """Signatures of distinct sets, packed by flush and bucket."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # 2 * mean set size / FREQUENT entries at most
-    names = ["bucket", "ids", "sizes", "rares", "keys", "counts", "signs"]
+    names = ["bucket", "ids", "common", "counts", "signs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sets, keys, _ in _distinct(batches, "id", "text", width):
+        for ids, sets, _, _ in _distinct(batches, "id", "text", width):
             if not sets:
                 continue
             made = [all_signatures(s, shared.value, t) for s in sets]
             owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x[0]) for x in made])
             sign, flags = np.concatenate([x[0] for x in made]), np.concatenate([x[1] for x in made])
-            rares = np.array([x[2] for x in made], np.int32)
+            common = np.array([len(s) - x[2] for s, x in zip(sets, made)], np.int32)
             del made
             bucket = (sign >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(sign), np.int32)
             low = ((sign >> np.uint64(35 - bits)) & np.uint64((1 << 29) - 1)).astype(np.uint32) << np.uint32(3) | flags
             order = np.argsort(bucket, kind="stable")
             bucket, low, owner = bucket[order], low[order], owner[order]
-            all_ids, sizes, key = np.array(ids, np.int64), np.array([len(s) for s in sets], np.int32), np.array([k[0] for k in keys], np.int64)
+            all_ids = np.array(ids, np.int64)
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
             columns: list[list] = [[] for _ in names]
             for b, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 own = owner[b:e]
                 starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
                 docs_here = own[starts]
-                for c, v in zip(columns, (int(bucket[b]), all_ids[docs_here].tobytes(), sizes[docs_here].tobytes(), rares[docs_here].tobytes(), key[docs_here].tobytes(), np.diff(np.append(starts, e - b)).astype(np.int32).tobytes(), low[b:e].tobytes())):
+                for c, v in zip(columns, (int(bucket[b]), planes(np.diff(all_ids[docs_here], prepend=0)), planes(common[docs_here]), planes(np.diff(np.append(starts, e - b)).astype(np.int32)), low[b:e].tobytes())):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names)
 
-    return docs.mapInArrow(run, "bucket int, ids binary, sizes binary, rares binary, keys binary, counts binary, signs binary")
+    return docs.mapInArrow(run, "bucket int, ids binary, common binary, counts binary, signs binary")
 
 
 def bucket_runs(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Runs of a bucket: distinct sets with a common signature, by size, each once with its count."""
-    join = lambda name, kind: np.frombuffer(b"".join(pdf[name]), kind)
-    ids, sizes, rares, keys = join("ids", np.int64), join("sizes", np.int32), join("rares", np.int32), join("keys", np.int64)
-    owner = np.repeat(np.arange(len(ids)), join("counts", np.int32))
-    signs = join("signs", np.uint32)
+    """Runs of a bucket: documents with a common signature, by id, each run once with its count."""
+    join = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
+    ids = join([np.cumsum(unplanes(x, np.int64)) for x in pdf["ids"]], np.int64)
+    common, counts = (join([unplanes(x, np.int32) for x in pdf[c]], np.int32) for c in ("common", "counts"))
+    owner = np.repeat(np.arange(len(ids)), counts)
+    signs = join([np.frombuffer(x, np.uint32) for x in pdf["signs"]], np.uint32)
     value = signs >> np.uint32(3)
     order = np.argsort(value, kind="stable")
     value, owner, flags = value[order], owner[order], (signs & np.uint32(7)).astype(np.int8)[order]
@@ -276,17 +304,21 @@ def bucket_runs(pdf: pd.DataFrame) -> pd.DataFrame:
         members: dict[int, list[int]] = {}
         hot = bool(flags[b:e].max() & HOT)
         for o, f in zip(owner[b:e].tolist(), flags[b:e].tolist()):
-            k = int(keys[o])
-            if (m := members.get(k)) is None:
-                members[k] = [int(rares[o]) if hot else 0, int(sizes[o]), int(ids[o]), f & (PROBE | OWN)]
+            if (m := members.get(k := int(ids[o]))) is None:
+                members[k] = [k, int(common[o]), f & (PROBE | OWN)]
             else:
-                m[2] = min(m[2], int(ids[o]))
-                m[3] |= f & (PROBE | OWN)
+                m[2] |= f & (PROBE | OWN)
         if len(members) > 1:
             run = (hot, *sorted(map(tuple, members.values())))
             found[run] = found.get(run, 0) + 1
     part = lambda i: [[r[i] for r in k[1:]] for k in found]
-    return pd.DataFrame({"hot": [k[0] for k in found], "rares": part(0), "sizes": part(1), "docs": part(2), "flags": part(3), "n": list(found.values())})
+    return pd.DataFrame({"hot": [k[0] for k in found], "docs": part(0), "common": part(1), "flags": part(2), "n": list(found.values())})
+
+
+def alike(x: str, y: str, size: str, other: str, t: int) -> str:
+    """SQL: whether two sketches differ in no more bits than linked sets of these sizes can."""
+    bits = " + ".join(f"bit_count({x}.{c} ^ {y}.{c})" for c in SKETCH_COLUMNS)
+    return f"{bits} <= ({size} + {other}) * {100 - t} div {100 + t}"
 
 
 def can_link(x: str, y: str, t: int) -> str:
@@ -300,7 +332,9 @@ def can_link(x: str, y: str, t: int) -> str:
 def verify(pairs: DataFrame, docs: DataFrame, width: int, t: int) -> DataFrame:
     """The pairs `(a, b)` whose whole texts' shingle sets have a Jaccard similarity of t % or more."""
     involved = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = stored(docs.join(involved, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), "join-texts")
+    involved = stored(involved, "join-involved")
+    few = involved.count() <= BROADCAST_IDS
+    texts = stored(docs.join(F.broadcast(involved) if few else involved, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), "join-texts")
     left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
     both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
@@ -332,13 +366,22 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_i
     hot = np.sort(np.array([r["k1"] for r in frequent.select("k1").collect()], np.int64).astype(np.uint64))
     bits = min(26, max(5, int(np.ceil(np.log2(max(1.0, 0.7 * counts["shingles"] / BUCKET))))))
     packed = pack(base, width, threshold, bits, hot)
-    runs = packed.groupBy("bucket").applyInPandas(bucket_runs, "hot boolean, rares array<int>, sizes array<int>, docs array<long>, flags array<byte>, n long")
-    runs = runs.groupBy(F.xxhash64("docs").alias("r1"), F.xxhash64(F.lit(3), F.col("docs"), F.col("flags"), F.col("hot")).alias("r2")).agg(F.first(F.struct("hot", "rares", "sizes", "docs", "flags")).alias("run"), F.sum("n").alias("n"))
-    zipped = F.expr("transform(run.docs, (d, i) -> named_struct('doc', d, 'size', run.sizes[i], 'rare', run.rares[i], 'flag', run.flags[i]))")
-    runs = stored(runs.select("r1", "r2", "run.hot", zipped.alias("members"), "n"), "join-runs")
+    runs = packed.groupBy("bucket").applyInPandas(bucket_runs, "hot boolean, docs array<long>, common array<int>, flags array<byte>, n long")
+    runs = runs.groupBy(F.xxhash64("docs").alias("r1"), F.xxhash64(F.lit(3), F.col("docs"), F.col("flags"), F.col("hot")).alias("r2")).agg(F.first(F.struct("hot", "docs", "common", "flags")).alias("run"), F.sum("n").alias("n"))
+    whole = rows.where("n > 0 AND id IS NOT NULL")
+    classes = stored(whole.groupBy("k1", "k2").agg(F.min("id").alias("node"), F.count("*").alias("copies")), "join-classes")
+    copied = classes.where("copies > 1").select("k1", "k2", "node")
+    who = whole.groupBy("id").agg(F.first("n").alias("size"), F.first("k1").alias("k1"), F.first("k2").alias("k2"))
+    who = who.join(copied, ["k1", "k2"], "left").select(F.col("id").alias("doc"), F.coalesce("node", "id").alias("node"), "size")
+    sketches = whole.groupBy(F.col("id").alias("doc")).agg(F.first("n").alias("size"), *[F.first(c).alias(c) for c in SKETCH_COLUMNS])
+    each = runs.select("r1", "r2", "run.hot", "n", F.explode(F.arrays_zip("run.docs", "run.common", "run.flags")).alias("m")).select("r1", "r2", "hot", "n", F.col("m.docs").alias("doc"), F.col("m.common").alias("common"), F.col("m.flags").alias("flag"))
+    one = F.struct(F.when(F.col("hot"), F.col("size") - F.col("common")).otherwise(0).alias("rare"), "size", F.col("node").alias("doc"), "flag")
+    runs = each.join(who, "doc").groupBy("r1", "r2").agg(F.first("hot").alias("hot"), F.first("n").alias("n"), F.array_sort(F.collect_set(one)).alias("members"))
+    runs = stored(runs.where("members[0].doc <> members[size(members) - 1].doc OR size(members) > 2"), "join-runs")
     mates = runs.select("hot", F.col("members")[0].alias("x"), "n", F.explode(F.slice("members", F.lit(2), F.size("members") - 1)).alias("y"))
-    mates = mates.where(can_link("x", "y", threshold)).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"), "n")
+    mates = mates.where(f"x.doc <> y.doc AND {can_link('x', 'y', threshold)}").select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"), "n")
     best = mates.groupBy("a", "b").agg(F.sum("n").alias("n")).groupBy("b").agg(F.max_by("a", F.struct(F.col("n"), -F.col("a"))).alias("a")).select("a", "b")
+    best = best.alias("p").join(sketches.alias("x"), F.expr("p.a = x.doc")).join(sketches.alias("y"), F.expr("p.b = y.doc")).where(alike("x", "y", "x.size", "y.size", threshold)).select("p.a", "p.b")
     best = stored(best, "join-first")
     links = stored(verify(best, base, width, threshold), "join-links")
     component = stored(connected_components(links), "join-components")
@@ -346,9 +389,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_i
     member = runs.select("r1", "r2", "hot", F.explode("members").alias("m")).select("r1", "r2", "hot", "m.*")
     member = member.join(component.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     torn = member.groupBy("r1", "r2").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("r1", "r2")
-    member = stored(member.join(torn, ["r1", "r2"], "left_semi"), "join-torn")
+    member = member.join(torn, ["r1", "r2"], "left_semi").join(sketches.drop("size"), "doc")
+    member = stored(member, "join-torn")
     one, two = member.alias("x"), member.drop("hot").alias("y")
-    rule = F.expr(f"x.r1 = y.r1 AND x.r2 = y.r2 AND x.doc < y.doc AND x.component <> y.component AND ((x.flag | y.flag) & {PROBE | OWN}) = {PROBE | OWN} AND {can_link('x', 'y', threshold)}")
+    rule = F.expr(f"x.r1 = y.r1 AND x.r2 = y.r2 AND x.doc < y.doc AND x.component <> y.component AND ((x.flag | y.flag) & {PROBE | OWN}) = {PROBE | OWN} AND {can_link('x', 'y', threshold)} AND {alike('x', 'y', 'x.size', 'y.size', threshold)}")
     rest = one.join(two, rule).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
     tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = stored(rest.join(tried, ["a", "b"], "left_anti"), "join-rest")
@@ -361,7 +405,6 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_i
         raised = component.join(up, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
         component = stored(raised.unionByName(above.join(component, "node", "left_anti")), "join-components")
 
-    classes = rows.where("n > 0 AND id IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("node"), F.count("*").alias("copies"))
     classes = classes.join(component, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("class"), "copies", "component").where("copies > 1 OR component IS NOT NULL").select("k1", "k2", "class")
     out = rows.select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("k1")).alias("k1"), "k2").join(classes, ["k1", "k2"], "left")
     return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("class", "id").alias("component_id"))
