@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isoloom.functions import scalar as S
-from isoloom.operators import fof, mesh, octree, solid, surface
+from isoloom.operators import fof, mesh, octree, solid, subdivision, surface
 from isoloom.operators.octree import CELL, VALUES, Grid
 from isoloom.session import cut
 from isoloom.sources import particles as P
@@ -308,6 +308,8 @@ query("mp2_subdivide")(lambda s, d: mesh.subdivide_long(*_points(s, d), _points(
 query("ag10_edge_segments", f"WITH {_MESH}, S AS (SELECT a, b, sqrt((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y) + (q.z - p.z) * (q.z - p.z)) AS len FROM EX JOIN VX p ON p.vid = a JOIN VX q ON q.vid = b) SELECT count(*) + sum(CASE WHEN len > 6e0 THEN ceil(len / 6e0) - 1 ELSE 0 END)::bigint - count(*) + (SELECT count(*) FROM VX) AS vertices FROM S")(
     lambda s, d: mesh.subdivide_long(*_points(s, d), _points(s, d)[0].selectExpr("vid", "4e0 AS size"), 1.5)[0].agg(F.count("*").alias("vertices"))
 )
+_LOOP = f"WITH {_MESH}, SX AS (SELECT v0 AS s, v1 AS t, v2 AS o FROM FX UNION ALL SELECT v1, v2, v0 FROM FX UNION ALL SELECT v2, v0, v1 FROM FX), EO AS (SELECT least(s, t) AS a, greatest(s, t) AS b, count(*) AS n, " + ", ".join(f"CAST(sum(CAST(x.{c} AS decimal(28, 9))) AS double) AS o{c}" for c in "xyz") + " FROM SX JOIN VX x ON x.vid = o GROUP BY ALL), NV AS (SELECT (SELECT max(vid) FROM VX) + row_number() OVER (ORDER BY a, b) AS vid, " + ", ".join(f"CASE WHEN n = 2 THEN 0.375e0 * (p.{c} + q.{c}) + 0.125e0 * o{c} ELSE 0.5e0 * (p.{c} + q.{c}) END AS {c}" for c in "xyz") + " FROM EO JOIN VX p ON p.vid = a JOIN VX q ON q.vid = b), DX AS (SELECT a AS vid, b AS w, n FROM EO UNION ALL SELECT b, a, n FROM EO), NR AS (SELECT DX.vid, count(*) AS k, count(*) FILTER (n <> 2) AS opened, " + ", ".join(f"sum(x.{c}) AS s{c}, CAST(sum(CAST(CASE WHEN n <> 2 THEN x.{c} ELSE 0e0 END AS decimal(28, 9))) AS double) AS t{c}" for c in "xyz") + " FROM DX JOIN VX x ON x.vid = w GROUP BY DX.vid), OV AS (SELECT v.vid, " + ", ".join(f"CASE WHEN opened = 0 THEN v.{c} + (0.625e0 - pow(0.375e0 + 0.25e0 * cos(2e0 * pi() / k), 2)) / k * (s{c} - k * v.{c}) WHEN opened = 2 THEN 0.75e0 * v.{c} + 0.125e0 * t{c} ELSE v.{c} END AS {c}" for c in "xyz") + " FROM VX v LEFT JOIN NR ON NR.vid = v.vid) SELECT vid, " + ", ".join(f"round({c}, 9) AS {c}" for c in "xyz") + " FROM (SELECT * FROM OV UNION ALL SELECT * FROM NV)"
+query("mp5_loop_subdivision", _LOOP)(lambda s, d: subdivision.loop(*_points(s, d))[0].selectExpr("vid", *[f"round({a}, 9) AS {a}" for a in "xyz"]))
 query("gr8_islands", f"WITH RECURSIVE {_MESH}, R(vid, root) AS (SELECT src, src FROM AX UNION SELECT AX.dst, R.root FROM R JOIN AX ON AX.src = R.vid), M AS (SELECT vid, min(root) AS component FROM R GROUP BY vid) SELECT component, count(*) AS faces FROM FX JOIN M ON M.vid = v0 GROUP BY component")(
     lambda s, d: mesh.islands(*_points(s, d)).select("component", "faces")
 )
