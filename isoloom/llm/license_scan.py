@@ -1,9 +1,15 @@
 """License scans: Dice coefficient over word bigrams, with DataFrame functions only.
 
-A unit is a line of a text or the whole text. Its words are maximal runs of letters and digits,
-lower-cased; its bigrams the distinct pairs of neighbouring words. A template matches when
-2 * common / (unit + template) bigrams is at least the threshold, so a unit whose bigram count is
-outside [t / (2 - t), (2 - t) / t] times the template's cannot match and is not compared.
+A unit is a line of a text, the whole text, or any run of its words, across line ends too. Its words are
+maximal runs of letters and digits, lower-cased; its bigrams the distinct pairs of neighbouring words. A
+template matches when 2 * common / (unit + template) bigrams is at least the threshold t. Then the unit has
+at least t / (2 - t) times the template's bigrams in common and at most (2 - t) / t times as many in all, so
+a text without so many of a template's bigrams is not compared with it.
+
+A run that begins or ends with a foreign bigram is never better than the shorter one, so runs begin and end
+with a bigram of the template; from each begin the best end is taken, and of overlapping runs the best. A
+run that shares a line with a line that matches the same licence is that occurrence, and not given again;
+so are all runs of a text that matches it as a whole.
 
 Each row is handled on its own: no shuffle, no join. Templates are literals of fixed size.
 """
@@ -12,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +52,9 @@ TEMPLATES = {
         was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
     "unlicense": "This is free and unencumbered software released into the public domain.",
 }
+#: Full licence texts, beside the notices.
+FULL_TEXTS = {p.stem: p.read_text() for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
+ALL_TEMPLATES = TEMPLATES | FULL_TEXTS
 THRESHOLD = 0.8
 
 
@@ -66,33 +76,65 @@ def _words(unit: Column) -> Column:
     return F.filter(F.split(F.lower(unit), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """All columns of `docs` with `matches`: array<struct<license, dice, line>>, line -1 for the whole text.
+def _pairs(w: str) -> str:
+    """All bigrams of an array of words, in order."""
+    return f"zip_with(slice({w}, 1, greatest(size({w}) - 1, 0)), slice({w}, 2, greatest(size({w}) - 1, 0)), (a, b) -> concat(a, ' ', b))"
+
+
+#: Each bigram of a text: place `i`, the place `p` before where it stood last (or -1), itself.
+_LINKED = """transform(array(sort_array(transform(_pairs, (b, i) -> named_struct('b', b, 'i', i)))), o -> sort_array(zip_with(o,
+    concat(array(CAST(NULL AS struct<b: string, i: int>)), slice(o, 1, greatest(size(o) - 1, 0))),
+    (x, y) -> named_struct('i', x.i, 'p', IF(y.b = x.b, y.i, -1), 'b', x.b))))[0]"""
 
-    Null, empty and one-word units have no bigrams and match nothing. A one-line text is only
-    compared as a line. Columns named `matches` are replaced. Templates without bigrams never match.
+
+def _runs_sql(threshold: float) -> str:
+    """Runs of a text that match a template `t`: best end of each begin, then the best of overlapping ones.
+
+    `v`: the text's bigrams with `h`, whether of the template; `g`: the places of these. A run has `lo` of them
+    at least, so begins whose next `lo` span more than `hi` bigrams are left out, as are ends twice `hi` away
+    unless repeated bigrams keep the run that small.
+    """
+    dice = "2.0D * (a.c + 1) / (a.n + 1 + t.n)"
+    step = f"""CASE WHEN q.p >= s THEN a WHEN NOT q.h THEN named_struct('n', a.n + 1, 'c', a.c, 'dice', a.dice, 'e', a.e)
+        WHEN {dice} > a.dice THEN named_struct('n', a.n + 1, 'c', a.c + 1, 'dice', {dice}, 'e', q.i)
+        ELSE named_struct('n', a.n + 1, 'c', a.c + 1, 'dice', a.dice, 'e', a.e) END"""
+    near = "IF(size(array_distinct(slice(_pairs, s + 1, 2 * t.hi + 1))) > t.hi, least(2 * t.hi + 1, g[size(g) - 1] - s + 1), g[size(g) - 1] - s + 1)"
+    best = f"aggregate(slice(v, s + 1, {near}), named_struct('n', 0, 'c', 0, 'dice', 0.0D, 'e', -1), (a, q) -> {step}, a -> named_struct('s', s, 'e', a.e, 'dice', a.dice))"
+    begins = "filter(slice(g, 1, greatest(size(g) - t.lo + 1, 0)), (s, j) -> size(array_distinct(slice(_pairs, s + 1, g[j + t.lo - 1] - s + 1))) <= t.hi)"
+    found = f"filter(transform({begins}, s -> {best}), r -> r.dice >= {threshold!r}D)"
+    apart = f"""aggregate({found}, CAST(array() AS array<struct<s: int, e: int, dice: double>>), (k, r) ->
+        CASE WHEN size(k) = 0 OR r.s > element_at(k, -1).e THEN concat(k, array(r))
+        WHEN r.dice > element_at(k, -1).dice THEN concat(slice(k, 1, size(k) - 1), array(r)) ELSE k END)"""
+    marked = "transform(_linked, q -> named_struct('i', q.i, 'p', q.p, 'h', array_contains(t.b, q.b)))"
+    return f"transform(array({marked}), v -> transform(array(transform(filter(v, q -> q.h), q -> q.i)), g -> {apart})[0])[0]"
+
+
+def scan_licenses(docs: DataFrame, templates: dict[str, str] = ALL_TEMPLATES, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """All columns of `docs` with `matches`: array<struct<license, dice, line, last>>.
+
+    `line` and `last` are the first and last line of the unit, -1 for the whole text. Null, empty and one-word
+    units have no bigrams and match nothing. A one-line text is not compared as a whole. Columns named
+    `matches` are replaced. Templates without bigrams never match.
     """
     known = [(k, b, *bounds(len(b), threshold)) for k, v in sorted(templates.items()) if (b := bigrams(v))]
+    kind = "array<struct<license: string, dice: double, line: int, last: int>>"
     if not known:
-        return docs.drop("matches").withColumn("matches", F.expr("CAST(array() AS array<struct<license: string, dice: double, line: int>>)"))
-    least, most = min(k[2] for k in known), max(k[3] for k in known)
-    literal = F.array(*[F.struct(F.lit(k).alias("id"), F.array(*map(F.lit, b)).alias("b"), F.lit(len(b)).alias("n"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for k, b, lo, hi in known])
-    whole = F.coalesce(F.col(text), F.lit(""))
-    lines = F.split(whole, "\n")
-    units = F.concat(F.transform(lines, lambda u, i: F.struct(u.alias("u"), i.alias("line"))), F.when(F.size(lines) > 1, F.array(F.struct(whole.alias("u"), F.lit(-1).alias("line")))).otherwise(F.expr("CAST(array() AS array<struct<u: string, line: int>>)")))
-    worded = F.transform(units, lambda s: F.struct(_words(s["u"]).alias("w"), s["line"].alias("line")))
-    # a sequence with d distinct words has d - 1 distinct bigrams at least
-    sized = F.filter(worded, lambda s: (F.size(s["w"]) - 1 >= least) & (F.size(F.array_distinct(s["w"])) - 1 <= most))
-    paired = F.transform(sized, lambda s: F.struct(F.array_distinct(F.zip_with(F.slice(s["w"], F.lit(1), F.size(s["w"]) - 1), F.slice(s["w"], F.lit(2), F.size(s["w"]) - 1), lambda a, b: F.concat(a, F.lit(" "), b))).alias("b"), s["line"].alias("line")))
-    compared = F.flatten(
-        F.transform(
-            F.col("_units"),
-            lambda s: F.transform(
-                F.filter(F.col("_templates"), lambda t: (F.size(s["b"]) >= t["lo"]) & (F.size(s["b"]) <= t["hi"])),
-                lambda t: F.struct(t["id"].alias("license"), (F.lit(2.0) * F.size(F.array_intersect(s["b"], t["b"])) / (F.size(s["b"]) + t["n"])).alias("dice"), s["line"].alias("line")),
-            ),
-        )
-    )
+        return docs.drop("matches").withColumn("matches", F.expr(f"CAST(array() AS {kind})"))
+    literal = F.array(*[F.struct(F.lit(k).alias("id"), F.split(F.lit("|".join(b)), "[|]").alias("b"), F.lit(len(b)).alias("n"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for k, b, lo, hi in known])
+    every = ", ".join(f"'{p}'" for p in sorted({p for _, b, _, _ in known for p in b}))
     kept = docs.drop("matches")
-    out = kept.withColumn("_units", paired).withColumn("_templates", literal).withColumn("_all", compared)
-    return out.select(*[f"`{c}`" for c in kept.columns], F.filter("_all", lambda m: m["dice"] >= threshold).alias("matches"))
+    out = kept.withColumn("_lines", F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), _words)).withColumn("_templates", literal)
+    out = out.withColumn("_pairs", F.expr(f"transform(array(flatten(_lines)), w -> {_pairs('w')})[0]"))
+    out = out.withColumn("_hits", F.expr(f"array_distinct(filter(_pairs, b -> b IN ({every})))"))
+    out = out.withColumn("_near", F.expr("filter(_templates, t -> size(_hits) >= t.lo AND size(array_intersect(_hits, t.b)) >= t.lo)"))
+    units = f"concat(transform(_lines, (w, i) -> named_struct('b', array_distinct({_pairs('w')}), 'line', i)), IF(size(_lines) > 1, array(named_struct('b', array_distinct(_pairs), 'line', -1)), array()))"
+    compared = "transform(filter(_near, t -> size(u.b) BETWEEN t.lo AND t.hi), t -> named_struct('license', t.id, 'dice', 2.0D * size(array_intersect(u.b, t.b)) / (size(u.b) + t.n), 'line', u.line, 'last', u.line))"
+    units = f"filter(flatten(transform({units}, u -> {compared})), m -> m.dice >= {threshold!r}D)"
+    out = out.withColumn("_units", F.expr(f"IF(size(_near) = 0, CAST(array() AS {kind}), {units})"))
+    out = out.withColumn("_far", F.expr("filter(_near, t -> NOT exists(_units, m -> m.license = t.id AND m.line = -1))"))
+    out = out.withColumn("_linked", F.expr(f"IF(size(_far) = 0, CAST(array() AS array<struct<i: int, p: int, b: string>>), {_LINKED})"))
+    out = out.withColumn("_at", F.expr("IF(size(_far) = 0, CAST(array() AS array<int>), flatten(transform(_lines, (w, i) -> transform(w, x -> i))))"))
+    runs = f"flatten(transform(_far, t -> transform({_runs_sql(threshold)}, r -> named_struct('license', t.id, 'dice', r.dice, 'line', _at[r.s], 'last', _at[r.e + 1]))))"
+    out = out.withColumn("_runs", F.expr(runs))
+    alone = "filter(_runs, r -> NOT exists(_units, m -> m.license = r.license AND m.line BETWEEN r.line AND r.last))"
+    return out.select(*[f"`{c}`" for c in kept.columns], F.expr(f"CAST(concat(_units, {alone}) AS {kind})").alias("matches"))

@@ -63,6 +63,30 @@ def test_license(spark):
             assert (2 * min(n, m) / (n + m) >= t - 1e-12) == (lo <= m <= hi)
 
 
+def test_license_runs(spark):
+    """Licences wrapped inside a long text and inside a longer line, full texts, and all runs of small texts."""
+    rng = random.Random(6)
+    prose = lambda n: " ".join("".join(rng.choice("aeionrst") for _ in range(5)) for _ in range(n))
+    full = license_scan.FULL_TEXTS["mit-text"]
+    rows = [(1, f"{prose(900)}\n{full}\n{prose(900)}\n{full.replace('Software', 'Work', 2)}\n{prose(9)}"), (2, full), (3, f"{prose(70)} released under\nthe MIT License, {prose(50)}\n"), (4, f"{prose(50)} released under the MIT License {prose(50)}"), (5, f"{prose(3000)}\n{license_scan.FULL_TEXTS['apache-2.0-text']}{prose(3000)}")]
+    got = {r["doc_id"]: r["matches"] for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    lines = full.count("\n")  # the last one holds no new bigram
+    assert [(m["line"], m["last"], m["dice"] == 1) for m in got[1] if m["license"] == "mit-text"] == [(1, lines - 1, True), (lines + 3, 2 * lines + 1, False)]
+    assert [(m["license"], m["line"], m["dice"]) for m in got[2] if m["license"] == "mit-text"] == [("mit-text", -1, 1.0)]
+    assert [tuple(m) for m in got[3]] == [("mit", 1.0, 0, 1)] and [tuple(m) for m in got[4]] == [("mit", 1.0, 0, 0)]
+    assert ("apache-2.0-text", 1.0) in [(m["license"], m["dice"]) for m in got[5]]
+    templates = {"a": "w1 w2 w3 w4 w5 w6", "b": "w1 w2 w3", "c": "w3 w1 w2 w2 w1 w5 w4 w6 w1"}
+    rows = [(i, "".join(f"w{rng.randint(1, 7)}{rng.choice('   \n')}" for _ in range(rng.randint(0, 40)))) for i in range(150)]
+    rows += [(200 + i, f"w9 w8 {v[:9]} {v[9:]} w7 w9\nw8") for i, v in enumerate(templates.values())]
+    got = {r["doc_id"]: r["matches"] for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), templates).collect()}
+    for (i, t), (k, v) in itertools.product(rows, templates.items()):
+        w, of = license_scan.words(t), set(license_scan.bigrams(v))
+        runs = [set(itertools.pairwise(w[a:b])) for a, b in itertools.combinations(range(len(w) + 1), 2)]
+        best = max((2 * len(of & {" ".join(p) for p in u}) / (len(of) + len(u)) for u in runs), default=0)
+        dice = [m["dice"] for m in got[i] if m["license"] == k]
+        assert bool(dice) == (best >= 0.8) and (not dice or max(dice) <= best + 1e-12)
+
+
 def near_brute(rows):
     sets = {}
     for i, t in rows:
