@@ -2,10 +2,10 @@
 
 A page is cut into blocks at block-level tags. The first pass decides each block by itself: what stands
 in navigation, headers, footers, asides, forms or elements named like adverts, notices or comments is
-boilerplate, so is a block made of links or with a copyright sign, and so, on a page with an article or
-main element, is all outside it. Long enough blocks with enough stop words are text. The rest stays
-undecided: headings, short blocks and long ones without stop words. The second pass gives an undecided
-block the label of its nearest decided neighbours.
+boilerplate, so is a block made of links or with a copyright sign. Long enough blocks with enough stop words
+are text. The rest stays undecided: headings, short blocks and long ones without stop words. The second pass
+gives an undecided block the label of its nearest decided neighbours. All this holds inside and outside article
+and main elements alike; their borders only make neighbours more distant.
 """
 
 from __future__ import annotations
@@ -55,6 +55,8 @@ BAD_NAMES = frozenset(
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
 SHORT, LINKS, STOPS = 70, 0.33, 0.2
+#: Blocks that an element's border adds to the distance of a neighbour.
+BORDER = 16
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -173,12 +175,11 @@ def parse(html: str) -> list[Block]:
 
 def first_pass(found: list[Block]) -> None:
     """Decide each block by itself: bad, good, or undecided."""
-    has_main = any(b.main and not b.bad for b in found)
     for b in found:
         words = _WORD.findall(b.text.lower())
         stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
         density = b.links / max(1, len(b.text) - b.text.count(" "))
-        if b.bad or has_main and not b.main or density > LINKS or "©" in b.text:
+        if b.bad or density > LINKS or "©" in b.text:
             b.label = "bad"
         elif b.heading or len(b.text) < SHORT or stops < STOPS:
             b.label = ""
@@ -187,29 +188,32 @@ def first_pass(found: list[Block]) -> None:
 
 
 def second_pass(found: list[Block]) -> None:
-    """Give undecided blocks the label of the nearest decided block; at equal distance good wins.
+    """Give undecided blocks the label of the nearest decided block.
 
-    Undecided blocks of an article or main element stand among its text and are good. A page with
-    nothing decided good keeps its undecided blocks.
+    Blocks on the other side of an article's or main element's border, or in an element that is boilerplate
+    by name, are `BORDER` blocks farther. At equal distance good wins, but not outside the article or main
+    elements of a page that has good text in them. A page with nothing decided good keeps its undecided blocks.
     """
     labels = [b.label for b in found]
     if "good" not in labels:
         for b in found:
             b.label = b.label or "good"
         return
-    left, before = [-1] * len(found), -1
-    for i in range(len(found)):
-        left[i] = before
-        before = i if labels[i] else before
-    right, after = [-1] * len(found), -1
-    for i in reversed(range(len(found))):
-        right[i] = after
-        after = i if labels[i] else after
+    outside = any(b.main and b.label == "good" for b in found)
+    nearest = [{"good": len(found) + 3 * BORDER, "bad": len(found) + 3 * BORDER} for _ in found]
+    for order in (range(len(found)), reversed(range(len(found)))):
+        last: dict[tuple[str, bool, bool], int] = {}
+        for i in order:
+            b = found[i]
+            if labels[i]:
+                last[labels[i], b.main, b.bad] = i
+                continue
+            for (label, main, bad), j in last.items():
+                nearest[i][label] = min(nearest[i][label], abs(i - j) + BORDER * ((main != b.main) + bad))
     for i, b in enumerate(found):
-        if labels[i]:
-            continue
-        sides = [(abs(i - j), labels[j] != "good") for j in (left[i], right[i]) if j >= 0]
-        b.label = "good" if b.main or not min(sides)[1] else "bad"
+        if not labels[i]:
+            good, bad = nearest[i]["good"], nearest[i]["bad"]
+            b.label = "good" if good < bad or good == bad and (b.main or not outside) else "bad"
 
 
 def extract(html: str | None) -> str:

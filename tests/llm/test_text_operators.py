@@ -221,6 +221,16 @@ def test_html():
         assert isinstance(html_extract.extract(broken), str)
 
 
+def test_html_blocks_decide_on_either_side_of_an_article():
+    story = "".join(f"<p>It was the {w} of the year and they had all been there with us for a long time.</p>" for w in ("end", "best", "start"))
+    links = "<p><a href=x>More of this here</a></p>" * 3
+    text = re.sub(r"</p>", "\n\n", story).replace("<p>", "").strip()
+    assert html_extract.extract(f"<body><nav>Home</nav><h1>Head</h1>{story}<article><a href=x>Card</a></article><footer>End</footer>") == f"Head\n\n{text}"
+    for name in ("article", "main", "div"):
+        got = html_extract.extract(f"<body><nav>Home</nav><{name}><h1>Head</h1>{story}{links}<p>Short one.</p>{links}</{name}><footer>End</footer>")
+        assert got == f"Head\n\n{text}", name
+
+
 def test_classifiers():
     rng = random.Random(1)
     good = [" ".join(rng.choice(["the", "cat", "sat", "home"]) for _ in range(40)) for _ in range(60)]
