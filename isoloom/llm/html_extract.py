@@ -2,7 +2,7 @@
 
 A page is cut into blocks at block-level tags. The first pass decides each block by itself: what stands
 in navigation, headers, footers, asides, forms or elements named like adverts, notices or comments is
-boilerplate, so is a block made of links or with a copyright sign. Long enough blocks with enough stop words
+boilerplate, so is a block made of links or a short one with a copyright sign. Long enough blocks with enough stop words
 are text. The rest stays undecided: headings, short blocks and long ones without stop words. The second pass
 gives an undecided block the label of its nearest decided neighbours. All this holds inside and outside article
 and main elements alike; their borders only make neighbours more distant.
@@ -40,9 +40,11 @@ BLOCK = frozenset(
     frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td
     template tfoot th thead tr ul""".split()
 )
-RAW = frozenset("script style noscript template textarea title svg math iframe object audio video canvas noembed noframes head".split())
+RAW = frozenset("script style noscript template textarea title svg annotation annotation-xml iframe object audio video canvas noembed noframes head".split())
+#: Of these, what has no end tag goes on to the page's end; the others are left out as tags only.
+ENDLESS = frozenset(("script", "style", "textarea"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BAD = frozenset("nav header footer aside form menu button select option label input dialog figcaption".split())
+BAD = frozenset("nav header footer aside form menu button select option label input dialog".split())
 MAIN = frozenset(("article", "main"))
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words of class and id attributes that name boilerplate.
@@ -157,7 +159,7 @@ def parse(html: str) -> list[Block]:
                     at = end.start() if end[0][1] != "/" else end.end()
                 continue
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
-            at = end.end() if end else n
+            at = end.end() if end else n if name in ENDLESS else at
             continue
         if name in VOID or m[3].rstrip().endswith("/"):
             continue
@@ -179,7 +181,7 @@ def first_pass(found: list[Block]) -> None:
         words = _WORD.findall(b.text.lower())
         stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
         density = b.links / max(1, len(b.text) - b.text.count(" "))
-        if b.bad or density > LINKS or "©" in b.text:
+        if b.bad or density > LINKS or "©" in b.text and len(b.text) < SHORT:
             b.label = "bad"
         elif b.heading or len(b.text) < SHORT or stops < STOPS:
             b.label = ""

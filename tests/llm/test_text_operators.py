@@ -231,6 +231,16 @@ def test_html_blocks_decide_on_either_side_of_an_article():
         assert got == f"Head\n\n{text}", name
 
 
+def test_html_keeps_captions_formulas_and_signs():
+    long = "This is the story of the sign © and of all that was done with it by us in the year that had been."
+    page = f"<body><article><p>{long}</p><figure><img src=x><figcaption>The caption</figcaption></figure><p>{long} <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math></p><p>© 2020 Us</p></article>"
+    assert html_extract.extract(page) == f"{long}\n\nThe caption\n\n{long} x=1"
+    for name in ("svg", "video", "canvas", "object", "noscript", "iframe"):
+        assert html_extract.extract(f"<body><p>{long}</p><{name}><p>{long}</p>") == f"{long}\n\n{long}", name
+        assert html_extract.extract(f"<body><p>{long}</p><{name}>fallback</{name}><p>{long}</p>") == f"{long}\n\n{long}", name
+    assert html_extract.extract(f"<body><p>{long}</p><script><p>{long}</p>") == long
+
+
 def test_classifiers():
     rng = random.Random(1)
     good = [" ".join(rng.choice(["the", "cat", "sat", "home"]) for _ in range(40)) for _ in range(60)]
