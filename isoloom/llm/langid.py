@@ -26,9 +26,8 @@ from isoloom.llm.common import blocks, code_points, crc_mod, mix, splitmix
 BITS = 16
 SPAN = 32
 LEXICON = 300
-#: Bounds on the training rows: texts of each language, languages, and words of a text's sequences.
+#: Bound on the training rows: texts of each language. All languages are learned.
 MAX_TEXTS_PER_LANGUAGE = 250
-MAX_LANGUAGES = 64
 _LETTER: np.ndarray | None = None
 
 
@@ -251,7 +250,7 @@ def train(docs: DataFrame, per_language: int = MAX_TEXTS_PER_LANGUAGE) -> Crf:
     Rows whose crc32(doc_id) mod 4 is 2, and rows without a language or text, are not learned from.
     """
     usable = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(crc_mod("doc_id", 4) != 2)
-    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     if not sizes:
         return fit([], [])
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
@@ -265,7 +264,7 @@ def train(docs: DataFrame, per_language: int = MAX_TEXTS_PER_LANGUAGE) -> Crf:
 def predict(docs: DataFrame, crf: Crf, text: str = "text") -> DataFrame:
     """All columns of `docs` with `lang_pred` and `score` added (any of that name are replaced)."""
     kept = docs.drop("lang_pred", "score")
-    shared = kept.sparkSession.sparkContext.broadcast(crf)  # size fixed by BITS, LEXICON and MAX_LANGUAGES
+    shared = kept.sparkSession.sparkContext.broadcast(crf)  # size fixed by BITS, LEXICON and the number of languages
     schema = kept.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

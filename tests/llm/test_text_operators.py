@@ -257,6 +257,12 @@ def test_classifiers():
     assert np.allclose(m.sum(1), 1, atol=1e-4)
 
 
+def test_all_languages_are_learned(spark):
+    rows = [(100 * k + i, " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{c}" for c in "aeiou"), f"l{k:02}") for k in range(70) for i in range(8)]
+    crf = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert crf.labels == [f"l{k:02}" for k in range(70)]
+
+
 def test_forward_backward_sums_all_paths():
     rng = np.random.default_rng(0)
     scores, trans = rng.normal(size=(4, 1, 3)), rng.normal(size=(3, 3))
