@@ -18,14 +18,16 @@ is H at most: frequent subsets are probed too, but only yield pairs of which tha
 signature of the band for what no weights can serve. So no link is lost, and what is common to many
 documents does not make pairs of them.
 
-Signatures travel packed: one binary row for each block of documents and bucket, with ids as byte planes of
-differences; set sizes and classes of equal sets are joined to the runs that come back. A bucket yields runs of documents with a common signature, each once, not
-their pairs. First every document is verified against the run mate it shares most signatures with;
-components of these links shrink the runs, and only pairs of different components are then verified.
-Each set has a parity sketch: SKETCH words whose bits are the parities of the shingles that fall on
-them. Two sketches differ in at most as many bits as the sets do in shingles, so pairs with more
+Equal sets are found first by their keys, and one document of each class goes on. Signatures travel packed:
+one binary row for each block of documents and bucket, with ids as byte planes of differences. A bucket yields
+runs of documents with a common signature, each once: runs of two as pairs, longer ones as such, not as their pairs.
+First every document is verified against the mate it shares most signatures with; components of these links shrink
+the runs, and only pairs of different components are then verified.
+Each set has a parity sketch: at least as many bits as shingles, each the parity of the shingles that fall on it.
+Two sketches, the longer one folded, differ in at most as many bits as the sets do in shingles, so pairs with more
 differing bits than a link allows are left out of verification, and no link is.
-Verification recomputes both shingle sets and is exact up to 64-bit hashes.
+Verification recomputes shingle sets and is exact up to 64-bit hashes. Each document meets its partner's text
+in chunks of CHUNK partners, so a document with very many is compared by many tasks, one text at a time.
 """
 
 from __future__ import annotations
@@ -34,7 +36,6 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,14 +47,17 @@ from isoloom.session import stored
 SHINGLE = 5
 THRESHOLD = 75
 #: Shingles held by a map task at once, and signatures of a bucket on average.
-FLUSH, BUCKET = 2_000_000, 600_000
+FLUSH, BUCKET = 1_000_000, 600_000
 #: A shingle is frequent from this share of the distinct sets on, and at least so many.
 FREQUENT, FREQUENT_LEAST = 0.005, 64
 PROBE, OWN, HOT = 1, 2, 4
-#: 64-bit words of a parity sketch.
+#: 64-bit words of the least parity sketch.
 SKETCH = 8
-SKETCH_COLUMNS = [f"s{i}" for i in range(SKETCH)]
-#: Up to so many ids (8 bytes each) are broadcast to pick the texts to verify; beyond, the join shuffles.
+#: Partners of a document that are compared with one copy of its text.
+CHUNK = 64
+#: Sets whose signatures are made at once.
+SETS = 64
+#: Up to so many rows (24 bytes each at most) are broadcast to pick texts; beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
 _WORDS = splitmix(64, 4242)
 
@@ -86,8 +90,15 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
 
 
 def parity_sketch(s: np.ndarray) -> np.ndarray:
-    """SKETCH signed longs: for each bit, whether an odd number of shingles falls on it."""
-    odd = np.bincount((s % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    """Signed longs: for each bit, whether an odd number of shingles falls on it.
+
+    SKETCH words, doubled until there are as many bits as shingles. The halves of a sketch, one xor the
+    other, are the next shorter sketch.
+    """
+    bits = 64 * SKETCH
+    while bits < len(s):
+        bits *= 2
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -231,26 +242,26 @@ def _distinct(batches: Iterable[pa.RecordBatch], id_column: str, text: str, widt
 
 
 def describe(docs: DataFrame, width: int) -> DataFrame:
-    """`(kind, id, n, k1, k2, s0...)`: kind 0, a row's id, set size, set key and sketch; kind 1, in k1 a
-    shingle that n distinct sets of a flush have."""
-    names = ["kind", "id", "n", "k1", "k2", *SKETCH_COLUMNS]
+    """`(kind, id, n, k1, k2, sketch)`: kind 0, a row's id, set size, set key and, for the smallest id of a set in
+    a flush, sketch; kind 1, in k1 a shingle that n distinct sets of a flush have."""
+    names = ["kind", "id", "n", "k1", "k2", "sketch"]
+    sketch = pa.list_(pa.int64())
 
-    def batch(kind: int, ids: list, n: np.ndarray, k1: np.ndarray, k2: np.ndarray, sketches: np.ndarray) -> pa.RecordBatch:
-        columns = [pa.array(np.full(len(ids), kind, np.int8)), *(pa.array(c, pa.int64()) for c in (ids, n, k1, k2)), *(pa.array(np.ascontiguousarray(c)) for c in sketches.T)]
+    def batch(kind: int, ids: list, n: np.ndarray, k1: np.ndarray, k2: np.ndarray, sketches: list) -> pa.RecordBatch:
+        columns = [pa.array(np.full(len(ids), kind, np.int8)), *(pa.array(c, pa.int64()) for c in (ids, n, k1, k2)), pa.array(sketches, sketch)]
         return pa.RecordBatch.from_arrays(columns, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(SKETCH, np.int64)
-        for _, sets, keys, rows in _distinct(batches, "id", "text", width):
-            of = {k: parity_sketch(s) for k, s in zip(keys, sets)}
+        for ids, sets, _, rows in _distinct(batches, "id", "text", width):
+            of = {i: parity_sketch(s) for i, s in zip(ids, sets)}
             key = np.array([r[2] for r in rows], np.int64)
-            yield batch(0, [r[0] for r in rows], np.array([r[1] for r in rows], np.int64), key[:, 0], key[:, 1], np.stack([of.get(r[2], none) for r in rows]))
+            yield batch(0, [r[0] for r in rows], np.array([r[1] for r in rows], np.int64), key[:, 0], key[:, 1], [of.pop(r[0], None) for r in rows])
             values, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            keep = counts >= max(8, FREQUENT * len(sets))
+            keep = counts >= max(4, FREQUENT * len(sets))
             zero = np.zeros(int(keep.sum()), np.int64)
-            yield batch(1, zero, counts[keep], values[keep].astype(np.int64), zero, np.zeros((len(zero), SKETCH), np.int64))
+            yield batch(1, zero, counts[keep], values[keep].astype(np.int64), zero, [None] * len(zero))
 
-    return docs.mapInArrow(run, "kind byte, id long, n long, k1 long, k2 long, " + ", ".join(f"{c} long" for c in SKETCH_COLUMNS))
+    return docs.mapInArrow(run, "kind byte, id long, n long, k1 long, k2 long, sketch array<long>")
 
 
 def pack(docs: DataFrame, width: int, t: int, bits: int, frequent: np.ndarray) -> DataFrame:
@@ -262,16 +273,22 @@ def pack(docs: DataFrame, width: int, t: int, bits: int, frequent: np.ndarray) -
         for ids, sets, _, _ in _distinct(batches, "id", "text", width):
             if not sets:
                 continue
-            made = [all_signatures(s, shared.value, t) for s in sets]
-            owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x[0]) for x in made])
-            sign, flags = np.concatenate([x[0] for x in made]), np.concatenate([x[1] for x in made])
-            common = np.array([len(s) - x[2] for s, x in zip(sets, made)], np.int32)
-            del made
-            bucket = (sign >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(sign), np.int32)
-            low = ((sign >> np.uint64(35 - bits)) & np.uint64((1 << 29) - 1)).astype(np.uint32) << np.uint32(3) | flags
-            order = np.argsort(bucket, kind="stable")
-            bucket, low, owner = bucket[order], low[order], owner[order]
+            common = np.zeros(len(sets), np.int32)
+            parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for at in range(0, len(sets), SETS):
+                made = [all_signatures(s, shared.value, t) for s in sets[at : at + SETS]]
+                common[at : at + SETS] = [len(s) - x[2] for s, x in zip(sets[at : at + SETS], made)]
+                sign, flags = np.concatenate([x[0] for x in made]), np.concatenate([x[1] for x in made])
+                bucket = (sign >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(sign), np.int32)
+                low = ((sign >> np.uint64(35 - bits)) & np.uint64((1 << 29) - 1)).astype(np.uint32) << np.uint32(3) | flags
+                parts.append((bucket, low, np.repeat(np.arange(at, at + len(made), dtype=np.int32), [len(x[0]) for x in made])))
             all_ids = np.array(ids, np.int64)
+            del sets, made
+            bucket = np.concatenate([x[0] for x in parts])
+            order = np.argsort(bucket, kind="stable").astype(np.int32)
+            bucket = bucket[order]
+            low, owner = (np.concatenate([x[i] for x in parts])[order] for i in (1, 2))
+            del parts, order
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
             columns: list[list] = [[] for _ in names]
             for b, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
@@ -285,13 +302,21 @@ def pack(docs: DataFrame, width: int, t: int, bits: int, frequent: np.ndarray) -
     return docs.mapInArrow(run, "bucket int, ids binary, common binary, counts binary, signs binary")
 
 
-def bucket_runs(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Runs of a bucket: documents with a common signature, by id, each run once with its count."""
+RUNS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("hot", pa.bool_()), ("docs", pa.list_(pa.int64())), ("common", pa.list_(pa.int32())), ("flags", pa.list_(pa.int8())), ("n", pa.int64())])
+RUNS_SQL = "a long, b long, hot boolean, docs array<long>, common array<int>, flags array<byte>, n long"
+
+
+def bucket_runs(bucket: pa.Table) -> pa.Table:
+    """Runs of a bucket: documents with a common signature, by id, each run once with its count.
+
+    A run of two, unless of a frequent subset, has its documents as `a` and `b`, others have arrays.
+    """
+    get = lambda c: bucket.column(c).to_pylist()
     join = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
-    ids = join([np.cumsum(unplanes(x, np.int64)) for x in pdf["ids"]], np.int64)
-    common, counts = (join([unplanes(x, np.int32) for x in pdf[c]], np.int32) for c in ("common", "counts"))
-    owner = np.repeat(np.arange(len(ids)), counts)
-    signs = join([np.frombuffer(x, np.uint32) for x in pdf["signs"]], np.uint32)
+    ids = join([np.cumsum(unplanes(x, np.int64)) for x in get("ids")], np.int64)
+    common, counts = (join([unplanes(x, np.int32) for x in get(c)], np.int32) for c in ("common", "counts"))
+    owner = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
+    signs = join([np.frombuffer(x, np.uint32) for x in get("signs")], np.uint32)
     value = signs >> np.uint32(3)
     order = np.argsort(value, kind="stable")
     value, owner, flags = value[order], owner[order], (signs & np.uint32(7)).astype(np.int8)[order]
@@ -299,26 +324,32 @@ def bucket_runs(pdf: pd.DataFrame) -> pd.DataFrame:
     end = np.append(begin[1:], len(value))
     any_flag = np.bitwise_or.reduceat(flags, begin) if len(begin) else np.zeros(0, np.int8)
     many = (end - begin > 1) & (any_flag & (PROBE | OWN) == PROBE | OWN)
+    pairs: dict[tuple[int, int], int] = {}
     found: dict[tuple, int] = {}
     for b, e in zip(begin[many].tolist(), end[many].tolist()):
         members: dict[int, list[int]] = {}
-        hot = bool(flags[b:e].max() & HOT)
+        hot = bool((flags[b:e] & HOT).any())
         for o, f in zip(owner[b:e].tolist(), flags[b:e].tolist()):
             if (m := members.get(k := int(ids[o]))) is None:
                 members[k] = [k, int(common[o]), f & (PROBE | OWN)]
             else:
                 m[2] |= f & (PROBE | OWN)
-        if len(members) > 1:
+        if len(members) == 2 and not hot:
+            x, y = sorted(members)
+            pairs[x, y] = pairs.get((x, y), 0) + 1
+        elif len(members) > 1:
             run = (hot, *sorted(map(tuple, members.values())))
             found[run] = found.get(run, 0) + 1
-    part = lambda i: [[r[i] for r in k[1:]] for k in found]
-    return pd.DataFrame({"hot": [k[0] for k in found], "docs": part(0), "common": part(1), "flags": part(2), "n": list(found.values())})
+    part = lambda i: [None] * len(pairs) + [[r[i] for r in k[1:]] for k in found]
+    no = [None] * len(found)
+    columns = [[k[0] for k in pairs] + no, [k[1] for k in pairs] + no, [False] * len(pairs) + [k[0] for k in found], part(0), part(1), part(2), [*pairs.values(), *found.values()]]
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, RUNS)], schema=RUNS)
 
 
-def alike(x: str, y: str, size: str, other: str, t: int) -> str:
+def alike(x: str, y: str, t: int) -> str:
     """SQL: whether two sketches differ in no more bits than linked sets of these sizes can."""
-    bits = " + ".join(f"bit_count({x}.{c} ^ {y}.{c})" for c in SKETCH_COLUMNS)
-    return f"{bits} <= ({size} + {other}) * {100 - t} div {100 + t}"
+    fold = lambda p, q: f"IF(size({p}.sketch) > size({q}.sketch), zip_with(slice({p}.sketch, 1, size({q}.sketch)), slice({p}.sketch, size({q}.sketch) + 1, size({q}.sketch)), (u, v) -> u ^ v), {p}.sketch)"
+    return f"aggregate(zip_with({fold(x, y)}, {fold(y, x)}, (u, v) -> bit_count(u ^ v)), 0, (s, v) -> s + v) <= ({x}.size + {y}.size) * {100 - t} div {100 + t}"
 
 
 def can_link(x: str, y: str, t: int) -> str:
@@ -326,28 +357,44 @@ def can_link(x: str, y: str, t: int) -> str:
 
     Without a common rare shingle they differ in all of those, and in frequent ones by count at least.
     """
-    return f"least({x}.size, {y}.size) * 100 >= greatest({x}.size, {y}.size) * {t} AND (NOT hot OR {x}.rare + {y}.rare + abs({x}.size - {x}.rare - {y}.size + {y}.rare) <= ({x}.size + {y}.size) * {100 - t} div {100 + t})"
+    return f"least({x}.size, {y}.size) * 100 >= greatest({x}.size, {y}.size) * {t} AND (NOT hot OR {x}.size - {x}.common + {y}.size - {y}.common + abs({x}.common - {y}.common) <= ({x}.size + {y}.size) * {100 - t} div {100 + t})"
+
+
+def _picked(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """`docs` joined by id with rows that are counted first: broadcast if few."""
+    few = rows.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(rows) if few else rows, "id", how)
 
 
 def verify(pairs: DataFrame, docs: DataFrame, width: int, t: int) -> DataFrame:
-    """The pairs `(a, b)` whose whole texts' shingle sets have a Jaccard similarity of t % or more."""
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    involved = stored(involved, "join-involved")
-    few = involved.count() <= BROADCAST_IDS
-    texts = stored(docs.join(F.broadcast(involved) if few else involved, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), "join-texts")
-    left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    """The pairs `(a, b)` whose whole texts' shingle sets have a Jaccard similarity of t % or more.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "ta", 1 << 20):
-            x, y = (shingle_sets(*utf8(batch.column(i)), width) for i in (2, 3))
-            keep = []
-            for s, u in zip(x, y):
-                common = len(np.intersect1d(s, u, assume_unique=True))
-                keep.append(common > 0 and 100 * common >= t * (len(s) + len(u) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    Partners `b` of a document `a` are dealt to chunks of about CHUNK; each chunk gets the text of `a`, then
+    those of its partners, and holds two shingle sets at a time.
+    """
+    busy = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
+    dealt = pairs.join(busy, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / CHUNK)), F.lit(0)).alias("chunk"))
+    partners = dealt.select(F.col("b").alias("id"), "a", "chunk", F.lit(1).cast("byte").alias("role"))
+    centres = dealt.select(F.col("a").alias("id"), "a", "chunk", F.lit(0).cast("byte").alias("role")).distinct()
+    texts = _picked(docs, stored(partners.unionAll(centres), "join-dealt"), "inner")
+    ready = texts.select("a", "chunk", "role", "id", "text").repartition("a", "chunk").sortWithinPartitions("a", "chunk", "role", "id")
 
-    return both.mapInArrow(run, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre, group = np.zeros(0, np.uint64), None
+        for batch in blocks(batches, "text", 1 << 20):
+            found: list[tuple[int, int]] = []
+            keys = zip(*(batch.column(i).to_pylist() for i in range(4)))
+            for (a, chunk, role, b), s in zip(keys, shingle_sets(*utf8(batch.column(4)), width)):
+                if role == 0:
+                    centre, group = s, (a, chunk)
+                elif group == (a, chunk) and len(s) and len(centre):
+                    small, large = (s, centre) if len(s) < len(centre) else (centre, s)
+                    common = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+                    if 100 * common >= t * (len(s) + len(centre) - common):
+                        found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return ready.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_id", width: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -364,41 +411,41 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_i
     counts = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("shingles")).first()
     frequent = told.where("kind = 1").groupBy("k1").agg(F.sum("n").alias("n")).where(F.col("n") >= max(FREQUENT_LEAST, FREQUENT / 2 * counts["n"]))
     hot = np.sort(np.array([r["k1"] for r in frequent.select("k1").collect()], np.int64).astype(np.uint64))
-    bits = min(26, max(5, int(np.ceil(np.log2(max(1.0, 0.7 * counts["shingles"] / BUCKET))))))
-    packed = pack(base, width, threshold, bits, hot)
-    runs = packed.groupBy("bucket").applyInPandas(bucket_runs, "hot boolean, docs array<long>, common array<int>, flags array<byte>, n long")
-    runs = runs.groupBy(F.xxhash64("docs").alias("r1"), F.xxhash64(F.lit(3), F.col("docs"), F.col("flags"), F.col("hot")).alias("r2")).agg(F.first(F.struct("hot", "docs", "common", "flags")).alias("run"), F.sum("n").alias("n"))
-    whole = rows.where("n > 0 AND id IS NOT NULL")
+    whole = rows.where("n > 0 AND id IS NOT NULL").select("id", "n", "k1", "k2")
     classes = stored(whole.groupBy("k1", "k2").agg(F.min("id").alias("node"), F.count("*").alias("copies")), "join-classes")
     copied = classes.where("copies > 1").select("k1", "k2", "node")
-    who = whole.groupBy("id").agg(F.first("n").alias("size"), F.first("k1").alias("k1"), F.first("k2").alias("k2"))
-    who = who.join(copied, ["k1", "k2"], "left").select(F.col("id").alias("doc"), F.coalesce("node", "id").alias("node"), "size")
-    sketches = whole.groupBy(F.col("id").alias("doc")).agg(F.first("n").alias("size"), *[F.first(c).alias(c) for c in SKETCH_COLUMNS])
-    each = runs.select("r1", "r2", "run.hot", "n", F.explode(F.arrays_zip("run.docs", "run.common", "run.flags")).alias("m")).select("r1", "r2", "hot", "n", F.col("m.docs").alias("doc"), F.col("m.common").alias("common"), F.col("m.flags").alias("flag"))
-    one = F.struct(F.when(F.col("hot"), F.col("size") - F.col("common")).otherwise(0).alias("rare"), "size", F.col("node").alias("doc"), "flag")
-    runs = each.join(who, "doc").groupBy("r1", "r2").agg(F.first("hot").alias("hot"), F.first("n").alias("n"), F.array_sort(F.collect_set(one)).alias("members"))
-    runs = stored(runs.where("members[0].doc <> members[size(members) - 1].doc OR size(members) > 2"), "join-runs")
-    mates = runs.select("hot", F.col("members")[0].alias("x"), "n", F.explode(F.slice("members", F.lit(2), F.size("members") - 1)).alias("y"))
-    mates = mates.where(f"x.doc <> y.doc AND {can_link('x', 'y', threshold)}").select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"), "n")
-    best = mates.groupBy("a", "b").agg(F.sum("n").alias("n")).groupBy("b").agg(F.max_by("a", F.struct(F.col("n"), -F.col("a"))).alias("a")).select("a", "b")
-    best = best.alias("p").join(sketches.alias("x"), F.expr("p.a = x.doc")).join(sketches.alias("y"), F.expr("p.b = y.doc")).where(alike("x", "y", "x.size", "y.size", threshold)).select("p.a", "p.b")
-    best = stored(best, "join-first")
+    spare = stored(whole.join(copied, ["k1", "k2"]).where("id <> node").select("id").distinct(), "join-spare")
+    sketches = rows.where("sketch IS NOT NULL").select(F.col("id").alias("doc"), F.col("n").cast("int").alias("size"), "sketch").dropDuplicates(["doc"])
+
+    bits = min(26, max(5, int(np.ceil(np.log2(max(1.0, 0.7 * counts["shingles"] / BUCKET))))))
+    packed = pack(_picked(base, spare, "left_anti"), width, threshold, bits, hot)
+    found = stored(packed.groupBy("bucket").applyInArrow(bucket_runs, RUNS_SQL), "join-found")
+    runs = found.where("docs IS NOT NULL").groupBy(F.xxhash64("docs").alias("r1"), F.xxhash64(F.lit(3), F.col("docs"), F.col("flags"), F.col("hot")).alias("r2"))
+    runs = stored(runs.agg(F.first(F.struct("hot", "docs", "common", "flags")).alias("run"), F.sum("n").alias("n")).select("r1", "r2", "n", "run.*"), "join-runs")
+    stars = runs.select(F.col("docs")[0].alias("a"), F.col("common")[0].alias("ca"), "hot", "n", F.explode(F.arrays_zip("docs", "common")).alias("m"))
+    stars = stars.select("a", F.col("m.docs").alias("b"), "n", "hot", "ca", F.col("m.common").alias("cb")).where("a <> b")
+    pairs = found.where("a IS NOT NULL").groupBy("a", "b").agg(F.sum("n").alias("n")).select("a", "b", "n", F.lit(False).alias("hot"), F.lit(0).alias("ca"), F.lit(0).alias("cb"))
+    mates = pairs.unionAll(stars).groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("hot").alias("hot"), F.max("ca").alias("ca"), F.max("cb").alias("cb"))
+    side = lambda d, c: F.struct(F.col("size").alias("size"), F.col("sketch").alias("sketch"), F.col(c).alias("common")).alias(d)
+    mates = mates.join(sketches.withColumnRenamed("doc", "a"), "a").select("a", "b", "n", "hot", "cb", side("x", "ca"))
+    mates = mates.join(sketches.withColumnRenamed("doc", "b"), "b").select("a", "b", "n", "hot", "x", side("y", "cb"))
+    mates = stored(mates.where(f"{can_link('x', 'y', threshold)} AND {alike('x', 'y', threshold)}").select("a", "b", "n"), "join-mates")
+    best = stored(mates.groupBy("b").agg(F.max_by("a", F.struct(F.col("n"), -F.col("a"))).alias("a")).select("a", "b"), "join-first")
     links = stored(verify(best, base, width, threshold), "join-links")
     component = stored(connected_components(links), "join-components")
 
-    member = runs.select("r1", "r2", "hot", F.explode("members").alias("m")).select("r1", "r2", "hot", "m.*")
+    of = lambda side: component.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+    apart = mates.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+    member = runs.select("r1", "r2", "hot", F.explode(F.arrays_zip("docs", "common", "flags")).alias("m")).select("r1", "r2", "hot", F.col("m.docs").alias("doc"), "m.common", F.col("m.flags").alias("flag"))
     member = member.join(component.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     torn = member.groupBy("r1", "r2").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("r1", "r2")
-    member = member.join(torn, ["r1", "r2"], "left_semi").join(sketches.drop("size"), "doc")
-    member = stored(member, "join-torn")
+    member = stored(member.join(torn, ["r1", "r2"], "left_semi").join(sketches, "doc"), "join-torn")
     one, two = member.alias("x"), member.drop("hot").alias("y")
-    rule = F.expr(f"x.r1 = y.r1 AND x.r2 = y.r2 AND x.doc < y.doc AND x.component <> y.component AND ((x.flag | y.flag) & {PROBE | OWN}) = {PROBE | OWN} AND {can_link('x', 'y', threshold)} AND {alike('x', 'y', 'x.size', 'y.size', threshold)}")
-    rest = one.join(two, rule).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
-    tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = stored(rest.join(tried, ["a", "b"], "left_anti"), "join-rest")
+    rule = F.expr(f"x.r1 = y.r1 AND x.r2 = y.r2 AND x.doc < y.doc AND x.component <> y.component AND ((x.flag | y.flag) & {PROBE | OWN}) = {PROBE | OWN} AND {can_link('x', 'y', threshold)} AND {alike('x', 'y', threshold)}")
+    rest = apart.unionAll(one.join(two, rule).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))).distinct()
+    rest = stored(rest.join(best, ["a", "b"], "left_anti"), "join-rest")
     if not rest.isEmpty():
         more = verify(rest, base, width, threshold)
-        of = lambda side: component.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
         lifted = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
         above = stored(connected_components(lifted), "join-above")
         up = above.select(F.col("node").alias("component"), F.col("component").alias("top"))
