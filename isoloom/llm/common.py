@@ -17,6 +17,22 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 2 << 20
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, with as many underscores before them as no column has."""
+    taken = {c.lower() for c in columns}
+    mark = "_"
+    while any(mark + n in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
+def shielded(docs: DataFrame, names: Iterable[str]) -> tuple[DataFrame, list[Column]]:
+    """`docs` with columns of these names put aside, and what selects its own columns again."""
+    clash = [c for c in docs.columns if c.lower() in set(names)]
+    aside = dict(zip(clash, unused(docs.columns, *[f"own_{i}" for i in range(len(clash))])))
+    return docs.withColumnsRenamed(aside), [F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
