@@ -23,6 +23,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from isoloom.llm.common import shielded
+
 #: Short licence statements and notices of public licences.
 TEMPLATES = {
     "all-rights-reserved": "All rights reserved.",
@@ -114,7 +116,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = ALL_TEMPLATES, th
 
     `line` and `last` are the first and last line of the unit, -1 for the whole text. Null, empty and one-word
     units have no bigrams and match nothing. A one-line text is not compared as a whole. Columns named
-    `matches` are replaced. Templates without bigrams never match.
+    `matches` are replaced; all others stay, whatever their names. Templates without bigrams never match.
+    Every row stays, rows that repeat too; an empty table gives no rows.
     """
     known = [(k, b, *bounds(len(b), threshold)) for k, v in sorted(templates.items()) if (b := bigrams(v))]
     kind = "array<struct<license: string, dice: double, line: int, last: int>>"
@@ -123,7 +126,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = ALL_TEMPLATES, th
     literal = F.array(*[F.struct(F.lit(k).alias("id"), F.split(F.lit("|".join(b)), "[|]").alias("b"), F.lit(len(b)).alias("n"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for k, b, lo, hi in known])
     every = ", ".join(f"'{p}'" for p in sorted({p for _, b, _, _ in known for p in b}))
     kept = docs.drop("matches")
-    out = kept.withColumn("_lines", F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), _words)).withColumn("_templates", literal)
+    out, back = shielded(kept, ("_lines", "_templates", "_pairs", "_hits", "_near", "_units", "_far", "_linked", "_at", "_runs"))
+    out = out.withColumn("_lines", F.transform(F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n"), _words)).withColumn("_templates", literal)
     out = out.withColumn("_pairs", F.expr(f"transform(array(flatten(_lines)), w -> {_pairs('w')})[0]"))
     out = out.withColumn("_hits", F.expr(f"array_distinct(filter(_pairs, b -> b IN ({every})))"))
     out = out.withColumn("_near", F.expr("filter(_templates, t -> size(_hits) >= t.lo AND size(array_intersect(_hits, t.b)) >= t.lo)"))
@@ -137,4 +141,4 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = ALL_TEMPLATES, th
     runs = f"flatten(transform(_far, t -> transform({_runs_sql(threshold)}, r -> named_struct('license', t.id, 'dice', r.dice, 'line', _at[r.s], 'last', _at[r.e + 1]))))"
     out = out.withColumn("_runs", F.expr(runs))
     alone = "filter(_runs, r -> NOT exists(_units, m -> m.license = r.license AND m.line BETWEEN r.line AND r.last))"
-    return out.select(*[f"`{c}`" for c in kept.columns], F.expr(f"CAST(concat(_units, {alone}) AS {kind})").alias("matches"))
+    return out.select(*back, F.expr(f"CAST(concat(_units, {alone}) AS {kind})").alias("matches"))
