@@ -47,12 +47,21 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BAD = frozenset("nav header footer aside form menu button select option label input dialog".split())
 MAIN = frozenset(("article", "main"))
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Words of class and id attributes that name boilerplate.
+#: Words of class and id attributes. The first name boilerplate whatever stands beside them; the second only
+#: in names made of such words, the third and numbers: `social-links` does, `social-policy` and `post-header` do not.
 BAD_NAMES = frozenset(
-    """ad ads adv advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies
-    copyright disqus dropdown footer footnav header masthead menu menubar modal nav navbar navigation navi newsletter notice notices overlay
-    pager pagination paywall popup promo promoted promotion recommended related replies reply respond reviews share sharing sidebar signup
-    skip skyscraper social sponsor sponsored subscribe subscription teaser toolbar topbar widget widgets""".split()
+    """ads adv advert advertisement adverts advertising breadcrumb breadcrumbs comments commentlist cookie cookies disqus footnav
+    navbar newsletter pagination paywall sidebar signup skyscraper sponsored toolbar topbar""".split()
+)
+WEAK_NAMES = frozenset(
+    """ad banner comment consent copyright dropdown footer header masthead menu menubar modal nav navigation navi notice notices overlay pager
+    popup promo promoted promotion recommended related replies reply respond reviews share sharing skip social sponsor subscribe
+    subscription teaser widget widgets""".split()
+)
+NEUTRAL_NAMES = frozenset(
+    """a area articles author bar block body bottom box btn button buttons card cards col column container content count feed fixed form group
+    head icon icons inline inner is item items left legal link links list main meta mobile more next outer page panel posts primary right row
+    secondary section site slot small stories sub text thread title to top unit wrap wrapper""".split()
 )
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
@@ -63,6 +72,7 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _NAME = re.compile(r"[a-z]+")
+_CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -77,15 +87,26 @@ class Block:
     label: str = ""
 
 
+def names_boilerplate(value: str) -> bool:
+    """Whether a class or id attribute names boilerplate: one of its names, split at capitals and signs, does."""
+    for name in value.split():
+        parts = set(_NAME.findall(_CAMEL.sub("-", name).lower()))
+        if not parts.isdisjoint(BAD_NAMES) or not parts.isdisjoint(WEAK_NAMES) and parts <= WEAK_NAMES | NEUTRAL_NAMES:
+            return True
+    return False
+
+
 def _is_bad(name: str, attrs: str) -> bool:
     if name in BAD:
         return True
     if not attrs or "=" not in attrs and "hidden" not in attrs:
         return False
     for key, value in _ATTR.findall(attrs):
-        key, value = key.lower(), value.strip("\"'").lower()
-        if key in ("class", "id") and not BAD_NAMES.isdisjoint(_NAME.findall(value)):
-            return name not in ("body", "html")
+        key, given = key.lower(), value.strip("\"'")
+        value = given.lower()
+        if key in ("class", "id") and names_boilerplate(given):
+            if name not in ("body", "html"):
+                return True
         if key == "role" and value in BAD_ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
             return True
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
@@ -98,6 +119,8 @@ def parse(html: str) -> list[Block]:
     out: list[Block] = []
     now = Block()
     stack: list[tuple[str, bool]] = []
+    opened: dict[str, int] = {}  # open elements by name, so that stray end tags cost nothing
+    endless: set[str] = set()  # names without any further end tag
     bad = main = heading = anchors = 0
 
     def close() -> None:
@@ -117,6 +140,7 @@ def parse(html: str) -> list[Block]:
     def leave(count: int) -> None:
         nonlocal bad, main, heading, anchors
         for name, was_bad in stack[len(stack) - count :]:
+            opened[name] -= 1
             bad -= was_bad
             main -= name in MAIN
             heading -= name in HEADING
@@ -147,18 +171,20 @@ def parse(html: str) -> list[Block]:
         elif name == "br":
             add(" ")
         if closing:
-            for back in range(1, len(stack) + 1):
+            for back in range(1, len(stack) + 1 if opened.get(name) else 1):
                 if stack[-back][0] == name:
                     leave(back)
                     break
             continue
         if name in RAW and not m[3].rstrip().endswith("/"):
+            pattern = r"</head\s*>|<body[\s>]" if name == "head" else rf"</{re.escape(name)}\s*>"
+            end = None if name in endless else re.compile(pattern, re.I).search(html, at)
+            if not end:
+                endless.add(name)
             if name == "head":
-                end = re.compile(r"</head\s*>|<body[\s>]", re.I).search(html, at)
                 if end:
                     at = end.start() if end[0][1] != "/" else end.end()
                 continue
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
             at = end.end() if end else n if name in ENDLESS else at
             continue
         if name in VOID or m[3].rstrip().endswith("/"):
@@ -167,6 +193,7 @@ def parse(html: str) -> list[Block]:
             leave(1)  # an end tag was left out
         was_bad = _is_bad(name, m[3])
         stack.append((name, was_bad))
+        opened[name] = opened.get(name, 0) + 1
         bad += was_bad
         main += name in MAIN
         heading += name in HEADING
