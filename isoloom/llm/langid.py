@@ -6,9 +6,10 @@ identity, its membership in each language's lexicon of frequent training words,
 of 1 to 3 letters, and its letter bigrams and trigrams. The text's language has the largest sum of
 word marginals.
 
-A sequence is a run of `SPAN` words of one text, so memory does not depend on a text's length; all
-words of all texts are labelled. Model size is fixed by `BITS`, the lexicon's bound and the number of
-languages.
+A text is one chain, however long. It is worked on in pieces of `SPAN` words: each piece's product of
+transition and word matrices carries the forward and backward messages from piece to piece, and with the messages that
+come in at its ends a piece's marginals are those of the whole chain. Training takes each piece as a sequence.
+Model size is fixed by `BITS`, the lexicon's bound and the number of languages.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ SPAN = 32
 LEXICON = 300
 #: Bound on the training rows: texts of each language. All languages are learned.
 MAX_TEXTS_PER_LANGUAGE = 250
+#: Training reads no text of more bytes, so that what goes to the driver is bounded.
+MAX_TRAINING_BYTES = 1 << 17
 _LETTER: np.ndarray | None = None
 
 
@@ -113,16 +116,24 @@ def _lexical(crf: Crf, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def forward_backward(scores: np.ndarray, transitions: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def forward_backward(scores: np.ndarray, transitions: np.ndarray, lengths: np.ndarray, begin: np.ndarray | None = None, end: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Marginals (steps, sequences, labels) and expected transition counts of padded sequences.
 
-    scores: (steps, sequences, labels). Steps at or after a sequence's length are padding.
+    scores: (steps, sequences, labels). Steps at or after a sequence's length are padding. `begin` and `end`
+    (sequences, labels) are the messages into the first and last word from what stands before and after them.
     """
     steps, _, k = scores.shape
     phi = np.exp(scores - scores.max(2, keepdims=True))
     a = np.exp(transitions - transitions.max())
     alpha, beta = np.empty_like(phi), np.ones_like(phi)
-    alpha[0] = phi[0] / phi[0].sum(1, keepdims=True)
+    if begin is not None:
+        alpha[0] = phi[0] * begin
+    else:
+        alpha[0] = phi[0]
+    alpha[0] /= alpha[0].sum(1, keepdims=True)
+    if end is not None:
+        beta[:] = end
+    last = beta[0].copy()
     for t in range(1, steps):
         v = (alpha[t - 1] @ a) * phi[t]
         alpha[t] = v / v.sum(1, keepdims=True)
@@ -131,7 +142,7 @@ def forward_backward(scores: np.ndarray, transitions: np.ndarray, lengths: np.nd
         live = (t < lengths)[:, None]
         right = phi[t] * beta[t]
         v = right @ a.T
-        beta[t - 1] = np.where(live, v / v.sum(1, keepdims=True), 1)
+        beta[t - 1] = np.where(live, v / v.sum(1, keepdims=True), last)
         joint_norm = ((alpha[t - 1] @ a) * right).sum(1, keepdims=True)
         pairs += ((alpha[t - 1] * live / joint_norm).T @ right) * a
     marginal = alpha * beta
@@ -139,6 +150,39 @@ def forward_backward(scores: np.ndarray, transitions: np.ndarray, lengths: np.nd
     return marginal, pairs
 
 
+def products(scores: np.ndarray, transitions: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """For each piece, word and transition matrices multiplied from its first word to its last: (pieces, labels, labels)."""
+    steps, n, k = scores.shape
+    phi = np.exp(scores - scores.max(2, keepdims=True))
+    a = np.exp(transitions - transitions.max())
+    out = phi[0][:, None, :] * np.eye(k, dtype=phi.dtype)
+    for t in range(1, steps):
+        live = np.flatnonzero(t < lengths)
+        if not len(live):
+            break
+        v = (out[live] @ a) * phi[t][live][:, None, :]
+        out[live] = v / v.sum((1, 2), keepdims=True)
+    return out
+
+
+def messages(product: np.ndarray, transitions: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What comes into each piece from its text's pieces before and after: (pieces, labels) each.
+
+    Text i has pieces first[i] to first[i] + count[i] - 1; all texts advance together, a piece a step.
+    """
+    n, k, _ = product.shape
+    a = np.exp(transitions - transitions.max())
+    begin, end = np.ones((n, k), product.dtype), np.ones((n, k), product.dtype)
+    for j in range(1, int(count.max(initial=0))):
+        at = first[count > j] + j
+        v = ((begin[at - 1][:, None, :] @ product[at - 1]) @ a)[:, 0]
+        begin[at] = v / v.sum(1, keepdims=True)
+        at = (first + count - 1)[count > j] - j
+        w = (a @ (product[at + 1] @ end[at + 1][:, :, None]))[:, :, 0]
+        end[at] = w / w.sum(1, keepdims=True)
+    return begin, end
+
+
 def _sequences(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word places (SPAN, sequences; padding repeats the first), lengths and owning rows."""
     n = -(-count // SPAN)
@@ -219,14 +263,21 @@ def label_words(crf: Crf, texts: list[str]) -> tuple[np.ndarray, WordTable]:
     """Marginals (words, labels) of all words of the texts, in order."""
     words = WordTable(texts)
     k = len(crf.labels)
-    if not len(words.word):
-        return np.zeros((0, k)), words
+    if not len(words.word) or not k:
+        return np.zeros((len(words.word), k)), words
     scores = words.emissions(crf.weights) + _lexical(crf, words.hash)
-    places, length, _ = _sequences(words.first, words.count)
+    places, length, row = _sequences(words.first, words.count)
+    transitions = crf.transitions.astype(np.float32)
+    width = max(64, 65536 // (k * k))
+    cuts = [slice(b, b + width) for b in range(0, places.shape[1], width)]
+    product = np.concatenate([products(scores[words.word[places[:, c]]], transitions, length[c]) for c in cuts])
+    pieces = np.bincount(row, minlength=len(words.count))
+    begin, end = messages(product, transitions, np.cumsum(pieces) - pieces, pieces)
+    del product
     out = np.zeros((len(words.word), k), np.float32)
-    for b in range(0, places.shape[1], 4096):
-        here, size = places[:, b : b + 4096], length[b : b + 4096]
-        marginal, _ = forward_backward(scores[words.word[here]], crf.transitions.astype(np.float32), size)
+    for c in cuts:
+        here, size = places[:, c], length[c]
+        marginal, _ = forward_backward(scores[words.word[here]], transitions, size, begin[c], end[c])
         live = np.arange(SPAN)[:, None] < size
         out[here[live]] = marginal[live]
     return out, words
@@ -247,9 +298,10 @@ def predict_texts(crf: Crf, texts: list[str]) -> tuple[list[str], np.ndarray]:
 def train(docs: DataFrame, per_language: int = MAX_TEXTS_PER_LANGUAGE) -> Crf:
     """Fit on at most about `per_language` texts of each language, those of lowest doc_id hash.
 
-    Rows whose crc32(doc_id) mod 4 is 2, and rows without a language or text, are not learned from.
+    Rows whose crc32(doc_id) mod 4 is 2, rows without a language or text, and texts of more than
+    MAX_TRAINING_BYTES are not learned from. Without any row nothing is learned.
     """
-    usable = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(crc_mod("doc_id", 4) != 2)
+    usable = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(crc_mod("doc_id", 4) != 2).where(F.octet_length("text") <= MAX_TRAINING_BYTES)
     sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     if not sizes:
         return fit([], [])
@@ -262,7 +314,12 @@ def train(docs: DataFrame, per_language: int = MAX_TEXTS_PER_LANGUAGE) -> Crf:
 
 
 def predict(docs: DataFrame, crf: Crf, text: str = "text") -> DataFrame:
-    """All columns of `docs` with `lang_pred` and `score` added (any of that name are replaced)."""
+    """All columns of `docs` with `lang_pred` and `score` added (any of that name are replaced).
+
+    Texts that are null, empty or without a letter are `und` with score 0, as is every text where nothing was
+    learned. Of languages with equal sums the first in order wins. Every row stays, repeated ones too; an
+    empty table gives no rows.
+    """
     kept = docs.drop("lang_pred", "score")
     shared = kept.sparkSession.sparkContext.broadcast(crf)  # size fixed by BITS, LEXICON and the number of languages
     schema = kept.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
