@@ -25,6 +25,8 @@ BITS = 17
 DIM = 8
 #: Bound on the labelled rows of each class that training reads.
 MAX_ROWS_PER_CLASS = 1500
+#: Training reads no text of more bytes, so that what goes to the driver is bounded.
+MAX_TRAINING_BYTES = 1 << 17
 #: Blanks between words, counted as one kind.
 BLANKS = np.array([*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x2028, 0x2029, 0x3000], np.uint32)
 _P = splitmix(4, 77).astype(np.uint32) | np.uint32(1)
@@ -151,7 +153,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = MAX_ROWS_
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
     share = F.when(F.col("label") == 1, per_class / max(1, sizes.get(1, 0))).otherwise(per_class / max(1, sizes.get(0, 0)))
     chosen = marked.where(spread < share)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # about 2 * per_class rows
+    short = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= MAX_TRAINING_BYTES)
+    return short.join(F.broadcast(chosen), "doc_id")  # about 2 * per_class rows
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = MAX_ROWS_PER_CLASS) -> QualityModel:
@@ -162,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = MAX_ROWS_PER_CLAS
 def score(docs: DataFrame, model: QualityModel, threshold: float = 0.3, text: str = "text") -> DataFrame:
     """All columns of `docs` with `score` and `predicted` added (any of that name are replaced).
 
-    Null and blank texts score 0.5. Every row is kept, repeated ones too.
+    Null and blank texts score 0.5. Every row is kept, repeated ones too; an empty table gives no rows.
     """
     kept = docs.drop("score", "predicted")
     shared = kept.sparkSession.sparkContext.broadcast(model)  # size fixed by BITS
