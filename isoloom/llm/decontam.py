@@ -1,13 +1,15 @@
 """Benchmark decontamination with suffix arrays of the training text.
 
-Each block of documents is a shard: its words become numbers, its suffixes are sorted by their first
-words into a suffix array, and every suffix of every benchmark item is looked up by binary search. The
-positions found are extended word by word to the longest verbatim match. Matches of at least a window
-(10 words, or the whole item if shorter) are hits; documents with hits are contaminated.
-
-Suffixes that begin with a word no item has cannot match and are not sorted. Words are compared by
-64-bit hashes. One pass over the documents, no shuffle; the benchmark is broadcast in blocks of bounded
-size, each with its own pass.
+Each block of documents is a shard. Its words become numbers and its suffixes are sorted by their first 10 words:
+ranks of 2, 4 and 8 words come from pairs of ranks of half the length. Every suffix of every benchmark item is
+found by binary search in the sorted ranks, dropped at the first length that the shard does not hold. Of the
+places found, those whose preceding word is the item's too are parts of longer matches; they stand together in the
+array, sorted by preceding word, and are skipped before they are listed. The rest are extended, 8 words at a time,
+to the longest verbatim match. Matches of at least a window (10 words, or the whole item if shorter) are
+hits; documents with hits are contaminated.
+
+Words are compared by 64-bit hashes. One pass over the documents, no shuffle. The benchmark is broadcast in blocks of
+bounded size; each further block has a pass of its own over the written result of the one before.
 """
 
 from __future__ import annotations
@@ -17,10 +19,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isoloom.llm.common import Words, ascii_fold, blocks, utf8, word_chars
+from isoloom.llm.common import Words, ascii_fold, blocks, shielded, utf8, word_chars
+from isoloom.session import stored
 
 WINDOW = 10
 #: Bytes of benchmark text that are broadcast at once.
@@ -36,10 +40,10 @@ class Items:
     item: np.ndarray  # sequence of each place
     left: np.ndarray  # words from each place to its sequence's end
     window: np.ndarray  # words that a hit of each sequence needs
-    ids: list[list[str]]  # item ids of each sequence
+    ids: list[list[str | None]]  # item ids of each sequence
 
 
-def items_of(rows: list[tuple[str, str]], window: int = WINDOW) -> Items:
+def items_of(rows: list[tuple[str | None, str]], window: int = WINDOW) -> Items:
     raw, offsets = utf8(pa.array([t for _, t in rows], pa.string()))
     words = Words(raw, offsets, word_chars(), ascii_fold())
     vocabulary, numbers = np.unique(words.hash, return_inverse=True)
@@ -56,62 +60,109 @@ def items_of(rows: list[tuple[str, str]], window: int = WINDOW) -> Items:
     return Items(vocabulary, every, item, left, np.minimum(window, sizes - 1), list(groups.values()))
 
 
-def suffix_array(numbers: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Suffixes sorted by their first words: positions, sort keys and words in a key.
-
-    Numbers are 0 to size; suffixes that begin with 0 are left out.
-    """
-    bits = max(1, int(size).bit_length())
-    depth = max(1, min(4, 63 // bits))
-    key = np.zeros(len(numbers), np.int64)
-    padded = np.concatenate([numbers, np.zeros(depth, np.int64)])
-    for k in range(depth):
-        key = (key << bits) | padded[k : k + len(numbers)]
-    at = np.flatnonzero(numbers)
-    order = np.argsort(key[at], kind="stable")
-    return at[order], key[at][order], depth
-
-
-def matches(numbers: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal verbatim matches: place in `numbers`, place in `items.words`, length in words.
-
-    Both sides end where a 0 stands. Only matches of at least the item's window are returned; matches
+class Ranks:
+    """Ranks of the first 1, 2, 4 and 8 words at each place of a shard; 0 where a 0 stands among them."""
+
+    def __init__(self, numbers: np.ndarray, depth: int):
+        self.of = {1: numbers}
+        self.known: dict[int, np.ndarray] = {}
+        n = 1
+        while 2 * n <= depth:
+            key = self.pair(numbers, n, n)
+            self.known[2 * n] = np.unique(key[key >= 0])
+            self.of[2 * n] = np.where(key >= 0, np.searchsorted(self.known[2 * n], key) + 1, 0)
+            n *= 2
+
+    def pair(self, numbers: np.ndarray, n: int, apart: int) -> np.ndarray:
+        """Sort key of n words and the n words `apart` places later; -1 where a 0 is among them."""
+        one = self.of[n]
+        two = np.append(one[apart:], np.zeros(min(apart, len(one)), np.int64))
+        return np.where((one > 0) & (two > 0), one << np.int64(32) | two, -1)
+
+    def find(self, items: Items) -> dict[int, np.ndarray]:
+        """For each place of the items, the ranks of its first words in this shard; 0 where it has none."""
+        present = np.zeros(len(items.vocabulary) + 1, bool)
+        present[self.of[1]] = True
+        present[0] = False
+        out = {1: np.where(present[items.words], items.words, 0)}
+        n = 1
+        while 2 * n in self.known:
+            one = out[n]
+            two = np.append(one[n:], np.zeros(min(n, len(one)), np.int64))
+            live = np.flatnonzero((one > 0) & (two > 0))
+            key, known = one[live] << np.int64(32) | two[live], self.known[2 * n]
+            rank = np.zeros(len(one), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                rank[live] = np.where(known[at] == key, at + 1, 0)
+            out[2 * n] = rank
+            n *= 2
+        return out
+
+
+#: Pairs of places that are extended at once.
+PAIRS = 1 << 20
+
+
+def matches(numbers: np.ndarray, items: Items) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Maximal verbatim matches, in portions: place in `numbers`, place in `items.words`, length in words.
+
+    Both sides end where a 0 stands. Only matches of at least the item's window are given; matches
     that could be extended to the left are parts of longer ones and left out.
     """
-    none = np.zeros(0, np.int64)
-    size = len(items.vocabulary)
-    places, keys, depth = suffix_array(numbers, size)
-    need = items.window[items.item] if len(items.item) else none
-    tests = np.flatnonzero((items.words > 0) & (items.left >= need)) if len(need) else none
-    if not len(places) or not len(tests):
-        return none, none, none
-    bits = max(1, int(size).bit_length())
-    padded = np.concatenate([items.words, np.zeros(depth, np.int64)])
-    low, high = np.zeros(len(tests), np.int64), np.zeros(len(tests), np.int64)
-    known = np.minimum(depth, need[tests])
-    for k in range(depth):
-        take = k < known
-        low = (low << bits) | np.where(take, padded[tests + k], 0)
-        high = (high << bits) | np.where(take, padded[tests + k], (1 << bits) - 1)
-    begin, end = np.searchsorted(keys, low, "left"), np.searchsorted(keys, high, "right")
-    count = end - begin
-    test = np.repeat(tests, count)
-    spot = places[np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
-    before_text = np.where(spot > 0, numbers[spot - 1], 0)
-    before_test = np.where(test > 0, items.words[test - 1], 0)
-    maximal = (before_text == 0) | (before_text != before_test)
-    test, spot = test[maximal], spot[maximal]
-    text = np.append(numbers, 0)
-    length = np.zeros(len(test), np.int64)
-    live = np.arange(len(test))
-    step = 0
-    while len(live):
-        a = text[np.minimum(spot[live] + step, len(text) - 1)]
-        live = live[(a > 0) & (a == items.words[test[live] + step])]
-        step += 1
-        length[live] = step
-    long = length >= need[test]
-    return spot[long], test[long], length[long]
+    if not len(numbers) or not len(items.words):
+        return
+    need = items.window[items.item]
+    tests = np.flatnonzero((items.words > 0) & (items.left >= need))
+    ranks = Ranks(numbers, int(items.window.max()))
+    of_test = ranks.find(items)
+    before = np.concatenate([[0], numbers[:-1]])
+    before_test = np.concatenate([[0], items.words[:-1]])
+    span = np.int64(len(items.vocabulary) + 1)
+    for k in np.unique(need[tests]).tolist():
+        p = 1 << (k.bit_length() - 1)  # k words are the first p and the last p of them
+        here = tests[need[tests] == k]
+        one, two = of_test[p][here], of_test[p][here + k - p]
+        here = here[(one > 0) & (two > 0)]
+        want = of_test[p][here] << np.int64(32) | of_test[p][here + k - p]
+        key = ranks.pair(numbers, p, k - p)
+        spots = np.flatnonzero(np.isin(key, want))
+        if not len(spots):
+            continue
+        suffixes = spots[np.lexsort((before[spots], key[spots]))]  # the suffix array, equal ones by preceding word
+        keys = key[suffixes]
+        kinds, rank = np.unique(keys, return_inverse=True)
+        at = np.minimum(np.searchsorted(kinds, want), len(kinds) - 1)
+        here, at = here[kinds[at] == want], at[kinds[at] == want]
+        full = rank * span + before[suffixes]
+        same = at * span + before_test[here]
+        bounds = [np.searchsorted(full, v) for v in (at * span, same, same + 1, (at + 1) * span)]
+        first = before_test[here] == 0
+        # two ranges for each test: before and after the places with its preceding word
+        begin = np.concatenate([bounds[0], bounds[2]])
+        end = np.concatenate([np.where(first, bounds[2], bounds[1]), bounds[3]])
+        test = np.concatenate([here, here])
+        yield from _extended(numbers, items, ranks, of_test, suffixes, begin, end, test, k)
+
+
+def _extended(numbers: np.ndarray, items: Items, ranks: Ranks, of_test: dict[int, np.ndarray], suffixes: np.ndarray, begin: np.ndarray, end: np.ndarray, test: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ranges of the suffix array paired with their test, each pair of at least k words extended to the right."""
+    step = max(of_test)
+    total = np.concatenate([[0], np.cumsum(end - begin)])
+    text, words = np.append(numbers, 0), np.append(items.words, 0)
+    far_text, far_test = np.append(ranks.of[step], 0), np.append(of_test[step], 0)
+    for lo in range(0, int(total[-1]), PAIRS):
+        pair = np.arange(lo, min(lo + PAIRS, int(total[-1])))
+        which = np.searchsorted(total, pair, "right") - 1
+        spot, place = suffixes[begin[which] + pair - total[which]], test[which]
+        length = np.full(len(pair), k, np.int64)
+        for width, a, b in ((step, far_text, far_test), (1, text, words)):
+            live = np.arange(len(pair))
+            while len(live):
+                x = a[np.minimum(spot[live] + length[live], len(a) - 1)]
+                live = live[(x > 0) & (x == b[np.minimum(place[live] + length[live], len(b) - 1)])]
+                length[live] += width
+        yield spot, place, length
 
 
 def _spans(begin: np.ndarray, end: np.ndarray) -> list[int]:
@@ -125,8 +176,8 @@ def _spans(begin: np.ndarray, end: np.ndarray) -> list[int]:
     return out
 
 
-def _merge(a: list[int], b: list[int]) -> list[int]:
-    both = np.array(a + b, np.int64).reshape(-1, 2)
+def _merge(a: list[int], b: np.ndarray | list[int]) -> list[int]:
+    both = np.concatenate([np.array(a, np.int64).reshape(-1, 2), np.array(b, np.int64).reshape(-1, 2)])
     return _spans(both[:, 0], both[:, 1])
 
 
@@ -140,20 +191,21 @@ def search(raw: np.ndarray, offsets: np.ndarray, items: Items) -> tuple[np.ndarr
     if len(items.vocabulary) and len(words.hash):
         found = np.minimum(np.searchsorted(items.vocabulary, words.hash), len(items.vocabulary) - 1)
         numbers[np.arange(len(words.hash)) + row_of] = np.where(items.vocabulary[found] == words.hash, found + 1, 0)
-    spot, test, length = matches(numbers, items)
-    row = np.searchsorted(at, spot, "right") - 1
     spans: list[list[int]] = [[] for _ in range(rows)]
-    hit: list[list[str]] = [[] for _ in range(rows)]
+    hit: list[set[int]] = [set() for _ in range(rows)]
     longest = np.zeros(rows, np.int64)
-    np.maximum.at(longest, row, length)
-    order = np.argsort(row, kind="stable")
-    cuts = np.flatnonzero(np.diff(row[order])) + 1
-    for part in np.split(order, cuts) if len(order) else []:
-        r = row[part[0]]
-        begin = spot[part] - at[r]
-        spans[r] = _spans(begin, begin + length[part])
-        hit[r] = sorted({i for s in set(items.item[test[part]].tolist()) for i in items.ids[s]})
-    return words.count, spans, hit, longest
+    for spot, test, length in matches(numbers, items):
+        row = np.searchsorted(at, spot, "right") - 1
+        np.maximum.at(longest, row, length)
+        for r, seq in np.unique(np.stack([row, items.item[test]], 1), axis=0).tolist():
+            hit[r].add(seq)
+        order = np.argsort(row, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(row[order])) + 1):
+            r = row[part[0]]
+            begin = spot[part] - at[r]
+            spans[r] = _merge(spans[r], np.stack([begin, begin + length[part]], 1))
+    named = [sorted({i for s in found for i in items.ids[s] if i is not None}) for found in hit]
+    return words.count, spans, named, longest
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, block_bytes: int = BENCHMARK_BLOCK) -> DataFrame:
@@ -161,11 +213,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", window
 
     Adds `n_words`, `hits` (array<long>: begin and end of each run of hit words), `items`
     (array<string>, sorted), `longest_match` (words) and `contaminated`. Null and empty texts have no
-    words and no hits; items without words are never found; items of one text are all named. Columns
-    named like results are replaced and every row stays.
+    words and no hits; items without words are never found; items of one text are all named. An item
+    without an id is searched like any other, but `items` can't name it. Columns named like results are
+    replaced, all others stay; every row stays, repeated ones too. An empty table gives no rows, an empty
+    benchmark no hits.
     """
     base = docs.drop("n_words", "hits", "items", "longest_match", "contaminated")
-    bench = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("id"), "text")
+    bench = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("string").alias("id"), "text")
     total = bench.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n_blocks = max(1, -(-total // block_bytes))
     empty = ["0L AS n_words", "CAST(array() AS array<bigint>) AS hits", "CAST(array() AS array<string>) AS items", "0L AS longest_match"]
@@ -173,11 +227,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", window
     schema = out.schema
     names = [f.name for f in schema]
     for b in range(n_blocks):
-        part = bench.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b) if n_blocks > 1 else bench
-        rows = sorted((r["id"], r["text"]) for r in part.collect())  # about block_bytes at most
+        part = bench.where(F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)) == b) if n_blocks > 1 else bench
+        rows = sorted(((r["id"], r["text"]) for r in part.collect()), key=lambda r: (r[0] is not None, r))  # about block_bytes
+        if b:
+            out = stored(out, "leaks")  # the block before has run, so that only one is held at a time
+            shared.unpersist()
         shared = docs.sparkSession.sparkContext.broadcast(items_of(rows, window))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, merge=b > 0) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared, merge: bool = b > 0) -> Iterator[pa.RecordBatch]:
             for batch in blocks(batches, text):
                 count, spans, found, longest = search(*utf8(batch.column(batch.schema.get_field_index(text))), shared.value)
                 if merge:
@@ -198,7 +255,6 @@ def n_hit() -> Column:
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
-    """The rows of `docs` without any hit, with their own columns."""
-    found = find_leaks(docs.withColumns({f"_own_{i}": F.col(f"`{c}`") for i, c in enumerate(docs.columns) if c in ("n_words", "hits", "items", "longest_match", "contaminated")}), benchmark, text, window)
-    back = [F.col(f"_own_{i}").alias(c) if f"_own_{i}" in found.columns else F.col(f"`{c}`") for i, c in enumerate(docs.columns)]
-    return found.where("NOT contaminated").select(*back)
+    """The rows of `docs` without any hit, with their own columns, whatever their names."""
+    aside, back = shielded(docs, ("n_words", "hits", "items", "longest_match", "contaminated"))
+    return find_leaks(aside, benchmark, text, window).where("NOT contaminated").select(*back)
