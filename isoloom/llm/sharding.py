@@ -3,8 +3,9 @@
 Documents of equal text form an indivisible group. Groups are dealt to buckets by hash; in each bucket
 differencing turns them into a partition of k sums: the two partial partitions with the largest
 spread are combined again and again, the largest part of one with the smallest of the other. The
-buckets' partitions are then combined in the same way, on the driver: k sums for each bucket, and the
-number of buckets is bounded by a parameter.
+buckets' partitions are then combined in the same way, on the driver: k sums for each bucket. Where there
+are more buckets than a parameter allows, they are first combined in tasks, that many buckets' worth at most reaching
+the driver.
 
 Rows move twice, without their texts: counts by group (pre-aggregated where they are read), then
 document ids to meet their group's shard; a group that holds many rows is split by skew-join handling.
@@ -13,7 +14,7 @@ document ids to meet their group's shard; a group that holds many rows is split
 from __future__ import annotations
 
 import heapq
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from isoloom.session import stored
 
-#: Groups of a bucket, on average, and the largest number of buckets.
+#: Groups of a bucket, on average, and the largest number of partitions that the driver combines.
 BUCKET_GROUPS, MAX_BUCKETS = 20_000, 8192
 
 
@@ -81,7 +82,7 @@ def split_sizes(sizes: Sequence[int], k: int) -> list[int]:
     return [p[0] for p in differencing([[int(s)] + [0] * (k - 1) for s in sizes])]
 
 
-def shard(docs: DataFrame, n_shards: int = 16, text: str = "text", id_column: str = "doc_id", bucket_groups: int = BUCKET_GROUPS) -> DataFrame:
+def shard(docs: DataFrame, n_shards: int = 16, text: str = "text", id_column: str = "doc_id", bucket_groups: int = BUCKET_GROUPS, max_buckets: int = MAX_BUCKETS) -> DataFrame:
     """`(id, size, text_crc32, shard, slot)` for every row of `docs`.
 
     Size is the text's UTF-8 bytes and 1; a null text is none and equals an empty one. Equal texts
@@ -94,7 +95,7 @@ def shard(docs: DataFrame, n_shards: int = 16, text: str = "text", id_column: st
     groups = rows.groupBy("g1", "g2").agg(F.sum("size").alias("bytes"))
     groups = stored(groups, "shard-groups")
     n_groups = groups.count()
-    n_buckets = int(min(MAX_BUCKETS, max(1, -(-n_groups // bucket_groups))))
+    n_buckets = max(1, -(-n_groups // bucket_groups))
 
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["bytes", "g1", "g2"], ascending=[False, True, True], kind="stable")
@@ -102,18 +103,41 @@ def shard(docs: DataFrame, n_shards: int = 16, text: str = "text", id_column: st
 
     bucketed = groups.withColumn("bucket", F.pmod(F.xxhash64("g2", "g1"), F.lit(n_buckets)).cast("int"))
     parts = stored(bucketed.groupBy("bucket").applyInPandas(local, "bucket int, g1 long, g2 long, bytes long, part int"), "shard-parts")
-    sums: dict[int, list[int]] = {}
-    for r in parts.groupBy("bucket", "part").agg(F.sum("bytes").alias("n")).collect():  # n_buckets * n_shards rows
-        sums.setdefault(r["bucket"], [0] * n_shards)[r["part"]] = r["n"]
-    keys = sorted(sums)
-    final = differencing([sums[b] for b in keys])
-    spark = docs.sparkSession
-    mapping = spark.createDataFrame([(b, p, s) for b, row in zip(keys, final) for p, s in enumerate(row)], "bucket int, part int, shard int")
-    placed = parts.join(F.broadcast(mapping), ["bucket", "part"]).select("g1", "g2", "shard")
+    mapping = combined(parts.groupBy("bucket", "part").agg(F.sum("bytes").alias("n")), n_buckets, n_shards, max_buckets)
+    few = n_buckets <= max_buckets
+    placed = parts.join(F.broadcast(mapping) if few else mapping, ["bucket", "part"]).select("g1", "g2", "shard")
     dealt = rows.join(placed, ["g1", "g2"])
     return number_slots(dealt.select(id_column, "size", "text_crc32", "shard"), id_column)
 
 
+def _table(rows: Iterable[tuple[int, int, int]], k: int) -> tuple[list[int], list[list[int]]]:
+    """Buckets in order and the k sums of each, from `(bucket, part, sum)`."""
+    sums: dict[int, list[int]] = {}
+    for b, p, n in rows:
+        sums.setdefault(b, [0] * k)[p] = n
+    return sorted(sums), [sums[b] for b in sorted(sums)]
+
+
+def combined(sums: DataFrame, n_buckets: int, k: int, max_buckets: int) -> DataFrame:
+    """`(bucket, part, shard)`: where differencing of the buckets' sums `(bucket, part, n)` puts each part."""
+    spark = sums.sparkSession
+    if n_buckets <= max_buckets:
+        buckets, each = _table([(r["bucket"], r["part"], r["n"]) for r in sums.collect()], k)  # n_buckets * k rows
+        rows = [(b, p, s) for b, row in zip(buckets, differencing(each)) for p, s in enumerate(row)]
+        return spark.createDataFrame(rows, "bucket int, part int, shard int")
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        buckets, each = _table(pdf[["bucket", "part", "n"]].itertuples(index=False, name=None), k)
+        rows = [(pdf["over"].iloc[0], b, p, m, row[p]) for b, row, final in zip(buckets, each, differencing(each)) for p, m in enumerate(final)]
+        return pd.DataFrame(rows, columns=["over", "bucket", "part", "mid", "n"])
+
+    n_over = -(-n_buckets // max_buckets)
+    over = stored(sums.withColumn("over", F.pmod("bucket", F.lit(n_over))).groupBy("over").applyInPandas(merge, "over int, bucket int, part int, mid int, n long"), "shard-over")
+    above = over.groupBy(F.col("over").alias("bucket"), F.col("mid").alias("part")).agg(F.sum("n").alias("n"))
+    top = combined(above, n_over, k, max_buckets).select(F.col("bucket").alias("over"), F.col("part").alias("mid"), "shard")
+    return over.join(top, ["over", "mid"]).select("bucket", "part", "shard")
+
+
 def number_slots(rows: DataFrame, id_column: str) -> DataFrame:
     """Add `slot`: rows of each shard from 0. Counts by shard and chunk first, so no task sorts a shard."""
     rows = stored(rows.withColumn("chunk", F.pmod(F.xxhash64(id_column, "text_crc32"), F.lit(4096)).cast("int")), "shard-slots")
