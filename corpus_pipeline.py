@@ -7,37 +7,59 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isoloom.llm import bpe, decontam, line_dedup, ngram_join, quality
-from isoloom.llm.common import table
+from isoloom.llm.common import shielded, table
 from isoloom.llm.queries import VOCABULARY
 from isoloom.session import stored
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that the quality classifier, trained on this stage's input, rejects."""
-    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
-    return scored.where("predicted = 1").select(*docs.columns)
+    """Drop documents that the quality classifier, trained on this stage's input, rejects.
+
+    Null and empty texts score 0.5 and stay; repeated rows are judged alike. An empty table gives no rows. The
+    columns are those of `docs`, extra ones too, whatever their names; this holds for all stages but the last.
+    """
+    aside, back = shielded(docs, ("score", "predicted"))
+    scored = quality.score(aside, quality.train(aside, table(spark, sf_dir, "labels")))
+    return scored.where("predicted = 1").select(*back)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop lines found in ten documents or more; a document without other lines stays, empty."""
-    kept = line_dedup.dedup_lines(docs)
-    return kept.select(*[F.char_length("text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns])
+    """Drop lines found in ten documents or more; a document without other lines stays, empty.
+
+    Null texts come back empty; repeated rows of one id are one document. `n_chars` is counted again where
+    there is one, as the type it has. An empty table gives no rows.
+    """
+    aside, back = shielded(docs, ("n_lines", "n_dropped"))
+    kept = line_dedup.dedup_lines(aside)
+    kinds = dict(docs.dtypes)
+    return kept.select(*[F.char_length("text").cast(kinds[c]).alias(c) if c == "n_chars" else b for c, b in zip(docs.columns, back)])
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each near-duplicate component."""
+    """Keep the document with the smallest id of each near-duplicate component.
+
+    Rows without an id or without words stay, as do all rows of a kept id. An empty table gives no rows.
+    """
     return ngram_join.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a window of a benchmark item."""
+    """Drop documents that hold a window of a benchmark item.
+
+    Null and empty texts hold none and stay; repeated rows are judged alike. An empty table gives no rows.
+    """
     return decontam.remove_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encode the texts; each result also carries a digest of what its ids decode to."""
+    """Encode the texts: all columns but `text`, then ids, their number and digests of ids and decoded bytes.
+
+    Null and empty texts have no ids. Columns named like results are replaced. Every row stays, repeated
+    ones too; an empty table gives no rows.
+    """
+    made = ("ids", "n_tokens", "ids_sha256", "decoded_sha256")
     found = bpe.encode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
-    return found.select("doc_id", "lang", "source", "ids", "n_tokens", "ids_sha256", "decoded_sha256")
+    return found.select(*[f"`{c}`" for c in docs.columns if c != "text" and c.lower() not in made], *made)
 
 
 STAGES = [
