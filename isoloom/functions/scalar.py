@@ -14,7 +14,7 @@ CORNERS = [(i & 1, i >> 1 & 1, i >> 2 & 1) for i in range(8)]
 EDGES = [(a, a | 1 << axis) for axis in range(3) for a in range(8) if not a >> axis & 1]
 #: Face directions -x, +x, -y, +y, -z, +z.
 FACES = [tuple((1 if f & 1 else -1) if axis == f // 2 else 0 for axis in range(3)) for f in range(6)]
-_NORM = 21.0 / (2.0 * math.pi)
+NORM = 21.0 / (2.0 * math.pi)
 
 
 def num(v: float) -> str:
@@ -48,14 +48,14 @@ def profile(q: str) -> str:
 
 
 def kernel(r: str, h: str, normalize: bool = True) -> str:
-    scale = f" * ({num(_NORM)} / ({h} * {h} * {h}))" if normalize else ""
+    scale = f" * ({num(NORM)} / ({h} * {h} * {h}))" if normalize else ""
     return f"CASE WHEN {h} <= 0e0 THEN 0e0 ELSE ({profile(f'({r} / {h})')}){scale} END"
 
 
 def kernel_slope(r: str, h: str) -> str:
     """What the displacement is multiplied by in the normalised kernel's gradient; 0 at r <= 0 and r >= h."""
     q = f"({r} / {h})"
-    return f"CASE WHEN {h} <= 0e0 OR {r} <= 0e0 OR {r} >= {h} THEN 0e0 ELSE (-20e0 * {q} * (1e0 - {q}) * (1e0 - {q}) * (1e0 - {q})) / ({h} * {r}) * ({num(_NORM)} / ({h} * {h} * {h})) END"
+    return f"CASE WHEN {h} <= 0e0 OR {r} <= 0e0 OR {r} >= {h} THEN 0e0 ELSE (-20e0 * {q} * (1e0 - {q}) * (1e0 - {q}) * (1e0 - {q})) / ({h} * {r}) * ({num(NORM)} / ({h} * {h} * {h})) END"
 
 
 def distance(dx: str, dy: str, dz: str) -> str:
@@ -116,10 +116,30 @@ def trilinear(v: list[str], fx: str, fy: str, fz: str) -> str:
     terms = []
     for i, (a, b, c) in enumerate(CORNERS):
         w = " * ".join(f if bit else f"(1e0 - {f})" for bit, f in ((a, fx), (b, fy), (c, fz)))
-        terms.append(f"{v[i]} * {w}")
+        terms.append(f"({v[i]}) * {w}")
     return "(" + " + ".join(terms) + ")"
 
 
+def neighbour_key(key: str, depth: str, axis: int, step: int, resolution: int) -> str:
+    """Morton key of the next (step 1) or previous (-1) cell along an axis, at the same depth; null beyond the grid.
+
+    The axis' bits are counted up or down in place: the others are filled or cleared, so that carries pass them.
+    """
+    bits = sum(1 << 3 * b + axis for b in range(21))
+    k, one = f"CAST({key} AS bigint)", f"CAST({1 << axis} AS bigint)"
+    moved = f"((({k} | {~bits}L) + {one}) & {bits}L)" if step > 0 else f"((({k} & {bits}L) - {one}) & {bits}L)"
+    return f"CASE WHEN {morton_decode(key, axis)} + {step} BETWEEN 0 AND {resolution} * CAST(1 << {depth} AS bigint) - 1 THEN {moved} | ({k} & {~bits}L) END"
+
+
+def share_face(p: str, q: str, max_depth: int) -> str:
+    """Whether two cells, named by prefixes of depth, ix, iy and iz, touch in a face: one axis touches, two overlap."""
+    lo = lambda c, a: f"({c}i{a} << ({max_depth} - {c}depth))"
+    hi = lambda c, a: f"(({c}i{a} + 1) << ({max_depth} - {c}depth))"
+    touch = {a: f"({hi(p, a)} = {lo(q, a)} OR {hi(q, a)} = {lo(p, a)})" for a in "xyz"}
+    meet = {a: f"({lo(p, a)} < {hi(q, a)} AND {lo(q, a)} < {hi(p, a)})" for a in "xyz"}
+    return "(" + " OR ".join(f"({touch[a]} AND {' AND '.join(meet[b] for b in 'xyz' if b != a)})" for a in "xyz") + ")"
+
+
 def print_scale(extent: float, size_cm: float) -> float:
     """Millimetres a native unit is printed at, so that the longest extent is `size_cm`."""
     if extent <= 0:

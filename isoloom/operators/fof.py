@@ -31,9 +31,12 @@ def pairs(p: DataFrame, length: float) -> DataFrame:
 
 
 def cluster(p: DataFrame, length: float) -> DataFrame:
-    """`(pid, group)`: groups are numbered from 0 in the order of their first particle."""
+    """`(pid, group)`: groups are numbered from 0 in the order of their first particle.
+
+    A length of 0 or less links nothing: each particle is a group of its own.
+    """
     if length <= 0:
-        return p.selectExpr("pid", "0L AS group").limit(1)
+        return numbered(p.select("pid"), ["pid"], "group")
     found = connected_components(pairs(p, length))
     root = p.select("pid").join(found, F.col("pid") == F.col("node"), "left").selectExpr("pid", "coalesce(component, pid) AS root")
     first = numbered(root.select("root").distinct(), ["root"], "group")

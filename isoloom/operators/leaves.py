@@ -45,3 +45,23 @@ def refine_surface_band(p: DataFrame, leaves: DataFrame, g: Grid, target: float)
         split = cut(with_surface(corner_samples(contrib, g), g).where("mask NOT IN (0, 255)").select(*CELL))
         leaves = cut(leaves.join(split, CELL, "left_anti").unionByName(children(split).select(*CELL)))
     return balance(leaves, g.max_depth)
+
+
+def thickening_band(solid: DataFrame, nbr: DataFrame, dist: DataFrame, radius: float, target: float) -> DataFrame:
+    """`(lid)` of leaves wider than `target` within radius + 2 target of the solid, and of such neighbours of theirs.
+
+    Empty where the band is fully refined, but for leaves of the largest depth. `dist` is the distance of outside leaves.
+    """
+    wide = solid.where(F.col("size") > target).select("lid")
+    near = dist.where(F.col("dist") <= radius + 2 * target).select("lid").unionAll(solid.where("inside").select("lid")).distinct()
+    core = wide.join(near, "lid", "left_semi")
+    ring = nbr.join(core, "lid", "left_semi").select(F.col("nid").alias("lid")).join(wide, "lid", "left_semi")
+    return core.unionAll(ring).distinct()
+
+
+def refine_thickening_band(leaves: DataFrame, band: DataFrame, g: Grid) -> DataFrame | None:
+    """Leaves `CELL, lid` with those of the band split and the tree balanced; None where none can be split."""
+    split = cut(leaves.join(band, "lid", "left_semi").where(F.col("depth") < g.max_depth).select(*CELL))
+    if split.isEmpty():
+        return None
+    return balance(leaves.join(split, CELL, "left_anti").select(*CELL).unionByName(children(split).select(*CELL)), g.max_depth)

@@ -93,13 +93,19 @@ def kernel_at(px: str, py: str, pz: str) -> str:
 
 
 def corner_samples(contrib: DataFrame, g: Grid) -> DataFrame:
-    """Field at the eight corners of each cell that has contributors, and their number."""
+    """Field at the eight corners of each cell that has contributors, and their number.
+
+    Relative distances are projected first, so that a kernel term takes one root and no division.
+    """
     lo, hi = g.bounds()
-    sums = []
+    near, sums = [], []
     for i, bits in enumerate(S.CORNERS):
         at = [hi[k] if b else lo[k] for k, b in enumerate(bits)]
-        sums.append(F.expr(f"CAST(sum({kernel_at(*at)}) AS double)").alias(f"v{i}"))
-    return contrib.groupBy(*CELL).agg(F.count("*").alias("n"), *sums)
+        r = S.distance(*[f"{at[k]} - {a}" for k, a in enumerate("xyz")])
+        near.append(f"CASE WHEN h <= 0e0 THEN 1e0 ELSE {r} / h END AS q{i}")
+        sums.append(F.expr(f"CAST(sum(CAST(({S.profile(f'q{i}')}) * scale AS decimal(28, 9))) AS double)").alias(f"v{i}"))
+    scale = f"CASE WHEN h <= 0e0 THEN 0e0 ELSE {S.num(S.NORM)} / (h * h * h) END AS scale"
+    return contrib.selectExpr(*CELL, scale, *near).groupBy(*CELL).agg(F.count("*").alias("n"), *sums)
 
 
 def with_surface(samples: DataFrame, g: Grid) -> DataFrame:
@@ -148,15 +154,21 @@ def hermite(samples: DataFrame, contrib: DataFrame, g: Grid) -> DataFrame:
 def qef(samples: DataFrame, g: Grid, weight: float = 0.1) -> DataFrame:
     """Vertex of each cell from its Hermite samples: regularised least squares, clamped to the cell.
 
-    Adds the mean normal, usable samples, the alignment of the worst normal and the residual's rms.
+    Adds the mean normal, usable samples, the alignment of the worst normal and the residual's rms. A cell
+    without a usable normal has its centre and no normal; where the equations are singular, as they can be
+    without a weight, the mean of the sample points is taken. A cell has twelve samples at most, which stay
+    together for the residuals, so that one aggregation does.
     """
-    usable = samples.where("nx <> 0e0 OR ny <> 0e0 OR nz <> 0e0").selectExpr("*", "(nx * px + ny * py + nz * pz) AS d")
     lo, hi = g.bounds()
     center = [f"(({lo[i]} + {hi[i]}) / 2e0)" for i in range(3)]
     s = lambda e, n: F.expr(f"sum({e})").alias(n)
-    m = usable.groupBy(*CELL).agg(F.count("*").alias("usable"), *[s(f"n{a} * n{b}", f"m{a}{b}") for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")], *[s(f"d * n{a}", f"r{a}") for a in "xyz"], *[s(f"n{a}", f"s{a}") for a in "xyz"])
+    given = samples.selectExpr("*", "(nx * px + ny * py + nz * pz) AS d", "(nx <> 0e0 OR ny <> 0e0 OR nz <> 0e0) AS use")
+    sums = [s(f"n{a} * n{b}", f"m{a}{b}") for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")] + [s(f"d * n{a}", f"r{a}") for a in "xyz"] + [s(f"n{a}", f"s{a}") for a in "xyz"]
+    sums += [F.expr(f"coalesce(avg(CASE WHEN use THEN p{a} END), 0e0)").alias(f"mean{a}") for a in "xyz"]
+    hold = F.expr("collect_list(CASE WHEN use THEN named_struct('px', px, 'py', py, 'pz', pz, 'nx', nx, 'ny', ny, 'nz', nz) END)").alias("hs")
+    m = given.groupBy(*CELL).agg(F.count_if("use").alias("usable"), *sums, hold)
     w = S.num(weight)
-    m = m.selectExpr(*CELL, "usable", *[f"m{a}{a} + {w} AS m{a}{a}" for a in "xyz"], "mxy", "mxz", "myz", *[f"r{a} + {w} * {center[i]} AS r{a}" for i, a in enumerate("xyz")], "sx", "sy", "sz")
+    m = m.selectExpr(*CELL, "usable", "hs", *[f"m{a}{a} + {w} AS m{a}{a}" for a in "xyz"], "mxy", "mxz", "myz", *[f"r{a} + {w} * {center[i]} AS r{a}" for i, a in enumerate("xyz")], *[f"{v}{a}" for v in ("s", "mean") for a in "xyz"])
     det = "(mxx * (myy * mzz - myz * myz) - mxy * (mxy * mzz - myz * mxz) + mxz * (mxy * myz - myy * mxz))"
     sol = [
         "(rx * (myy * mzz - myz * myz) - mxy * (ry * mzz - myz * rz) + mxz * (ry * myz - myy * rz))",
@@ -164,12 +176,12 @@ def qef(samples: DataFrame, g: Grid, weight: float = 0.1) -> DataFrame:
         "(mxx * (myy * rz - ry * myz) - mxy * (mxy * rz - ry * mxz) + rx * (mxy * myz - myy * mxz))",
     ]
     length = "sqrt(sx * sx + sy * sy + sz * sz)"
-    v = m.selectExpr(*CELL, "usable", *[f"least(greatest({sol[i]} / {det}, {lo[i]}), {hi[i]}) AS v{a}" for i, a in enumerate("xyz")], *[f"CASE WHEN {length} <= 1e-12 THEN 0e0 ELSE s{a} / {length} END AS a{a}" for a in "xyz"])
-    back = usable.join(v, CELL).groupBy(*CELL).agg(
-        F.expr("sqrt(avg(((vx - px) * nx + (vy - py) * ny + (vz - pz) * nz) * ((vx - px) * nx + (vy - py) * ny + (vz - pz) * nz)))").alias("rms"),
-        F.expr("CASE WHEN count(*) < 2 THEN 1e0 ELSE min(nx * ax + ny * ay + nz * az) END").alias("alignment"),
-    )
-    return v.join(back, CELL)
+    best = [f"CASE WHEN usable = 0 THEN {center[i]} WHEN abs({det}) <= 1e-10 THEN mean{a} ELSE {sol[i]} / {det} END" for i, a in enumerate("xyz")]
+    v = m.selectExpr(*CELL, "usable", "hs", *[f"least(greatest({best[i]}, {lo[i]}), {hi[i]}) AS v{a}" for i, a in enumerate("xyz")], *[f"CASE WHEN {length} <= 1e-12 THEN 0e0 ELSE s{a} / {length} END AS a{a}" for a in "xyz"])
+    off = "((vx - p.px) * p.nx + (vy - p.py) * p.ny + (vz - p.pz) * p.nz)"
+    rms = f"CASE WHEN usable = 0 THEN 0e0 ELSE sqrt(aggregate(hs, 0e0, (s, p) -> s + {off} * {off}) / usable) END AS rms"
+    alignment = "CASE WHEN usable < 2 THEN 1e0 ELSE array_min(transform(hs, p -> p.nx * ax + p.ny * ay + p.nz * az)) END AS alignment"
+    return v.selectExpr(*CELL, "usable", *[f"{k}{a}" for k in "va" for a in "xyz"], rms, alignment)
 
 
 def refine(p: DataFrame, g: Grid, min_usable: int = 3, max_rms_ratio: float = 0.1, min_alignment: float = 0.97) -> DataFrame:

@@ -139,30 +139,43 @@ def boundary_samples(mask: DataFrame, solid: DataFrame, nbr: DataFrame, g: Grid)
     return at.selectExpr("lid", "face", *pos, *normal)
 
 
-def blocky_surface(mask: DataFrame, solid: DataFrame, g: Grid) -> tuple[DataFrame, DataFrame]:
-    """Vertices `(vid, x, y, z)` and outward triangles of the mask's exposed finest faces."""
+def exposed_places(mask: DataFrame, solid: DataFrame, g: Grid) -> DataFrame:
+    """`(face, jx, jy, jz)`: finest faces of the mask's leaves without a leaf of the mask behind, by the place in front.
+
+    Faces wholly covered by a leaf of the same size go first; only of the rest each finest face is looked up.
+    """
     span = f"(1 << ({g.max_depth} - depth))"
-    cells = solid.join(mask, "lid", "left_semi")
+    cells = cut(solid.join(mask.select("lid"), "lid", "left_semi").select(*CELL))
+    steps = ", ".join(f"named_struct('face', {f}, 'dx', {d[0]}, 'dy', {d[1]}, 'dz', {d[2]})" for f, d in enumerate(S.FACES))
+    sides = cells.selectExpr(*CELL, f"inline(array({steps}))")
+    same = cells.selectExpr("depth", *[f"i{a} AS n{a}" for a in "xyz"])
+    sides = sides.selectExpr("*", *[f"i{a} + d{a} AS n{a}" for a in "xyz"]).join(same, ["depth", "nx", "ny", "nz"], "left_anti")
     for a in "xyz":
-        cells = cells.withColumn(f"j{a}", F.explode(F.expr(f"sequence(i{a} * {span}, (i{a} + 1) * {span} - 1)")))
-    voxels = cut(cells.select("jx", "jy", "jz"))
-    corners = []
-    for f, d in enumerate(S.FACES):
+        at = f"explode(CASE d{a} WHEN 0 THEN sequence(i{a} * {span}, (i{a} + 1) * {span} - 1) WHEN 1 THEN array((i{a} + 1) * {span} - 1) ELSE array(i{a} * {span}) END) AS m{a}"
+        sides = sides.selectExpr("*", at)
+    fronts = sides.selectExpr("face", *[f"m{a}" for a in "xyz"], *[f"m{a} + d{a} AS j{a}" for a in "xyz"])
+    covered = leaf_lookup(fronts, cells, g.max_depth, []).select("face", "mx", "my", "mz")
+    return fronts.join(covered, ["face", "mx", "my", "mz"], "left_anti").selectExpr("face", *[f"m{a} AS j{a}" for a in "xyz"])
+
+
+def _quads(places: DataFrame) -> DataFrame:
+    """Corner keys `k0` to `k3` of each finest face, outward."""
+    kinds = []
+    for f in range(6):
         axis, up = f // 2, f % 2
         u, v = [(1, 2), (2, 0), (0, 1)][axis]
-        ring = [(0, 0), (1, 0), (1, 1), (0, 1)] if up else [(0, 0), (0, 1), (1, 1), (1, 0)]
         points = []
-        for p, q in ring:
+        for p, q in [(0, 0), (1, 0), (1, 1), (0, 1)] if up else [(0, 0), (0, 1), (1, 1), (1, 0)]:
             k = [0, 0, 0]
             k[axis], k[u], k[v] = up, p, q
             points.append("(CAST(jx + {} AS bigint) << 42) | (CAST(jy + {} AS bigint) << 21) | CAST(jz + {} AS bigint)".format(*k))
-        corners.append((d, points))
-    quads = None
-    for d, points in corners:
-        behind = voxels.selectExpr(*[f"j{a} - {d[i]} AS j{a}" for i, a in enumerate("xyz")])
-        one = voxels.join(behind, ["jx", "jy", "jz"], "left_anti").selectExpr(*[f"{p} AS k{i}" for i, p in enumerate(points)])
-        quads = one if quads is None else quads.unionAll(one)
-    quads = cut(quads)
+        kinds.append(points)
+    return places.selectExpr(*[f"CASE face {' '.join(f'WHEN {f} THEN {points[i]}' for f, points in enumerate(kinds))} END AS k{i}" for i in range(4)])
+
+
+def blocky_surface(mask: DataFrame, solid: DataFrame, g: Grid) -> tuple[DataFrame, DataFrame]:
+    """Vertices `(vid, x, y, z)` and outward triangles of the mask's exposed finest faces."""
+    quads = cut(_quads(exposed_places(mask, solid, g)))
     keys = quads.selectExpr("explode(array(k0, k1, k2, k3)) AS k").distinct()
     w = S.num(g.width(g.max_depth))
     ids = cut(numbered(keys, ["k"], "vid"))
@@ -170,3 +183,34 @@ def blocky_surface(mask: DataFrame, solid: DataFrame, g: Grid) -> tuple[DataFram
     for i in range(4):
         quads = quads.join(ids.select(F.col("k").alias(f"k{i}"), F.col("vid").alias(f"q{i}")), f"k{i}")
     return verts, quads.selectExpr("inline(array(named_struct('v0', q0, 'v1', q1, 'v2', q2), named_struct('v0', q0, 'v1', q2, 'v2', q3)))")
+
+
+def resolve_ambiguities(mask: DataFrame, solid: DataFrame, nbr: DataFrame, g: Grid) -> DataFrame:
+    """The mask with edges cleared at which two leaves of the mask meet diagonally.
+
+    Such a finest edge has four exposed faces. Of the two leaves outside around it the one with most
+    neighbours in the mask joins it; of equal ones the smaller, then the one with the lowest number.
+    """
+    quads = _quads(exposed_places(mask, solid, g))
+    ends = quads.selectExpr("inline(array(named_struct('s', k0, 't', k1), named_struct('s', k1, 't', k2), named_struct('s', k2, 't', k3), named_struct('s', k3, 't', k0)))")
+    edges = cut(ends.selectExpr("least(s, t) AS s", "greatest(s, t) AS t").groupBy("s", "t").agg(F.count("*").alias("n")).where("n > 2").select("s", "t"))
+    axis = "CASE t - s WHEN 1L THEN 2 WHEN 2097152L THEN 1 ELSE 0 END"
+    at = [f"CAST((s >> {b}) & {S.MAX_COORDINATE} AS int)" for b in (42, 21, 0)]
+    turns = [(0, 0), (0, 1), (1, 1), (1, 0)]
+    rows = [f"named_struct('k', {k}, 'u', {u}, 'v', {v})" for k, (u, v) in enumerate(turns)]
+    places = edges.selectExpr("s", "t", f"{axis} AS axis", *[f"{e} AS e{a}" for a, e in zip("xyz", at)]).selectExpr("*", f"inline(array({', '.join(rows)}))")
+    back = [f"CASE axis WHEN {i} THEN 0 WHEN {(i + 1) % 3} THEN v ELSE u END" for i in range(3)]
+    places = places.selectExpr("s", "t", "k", *[f"e{a} - ({b}) AS j{a}" for a, b in zip("xyz", back)])
+    opened = mask.select("lid", F.lit(True).alias("opened"))
+    met = leaf_lookup(places, solid, g.max_depth, ["lid", "size"]).join(opened, "lid", "left").selectExpr("s", "t", "k", "lid", "size", "coalesce(opened, false) AS opened")
+    pattern = met.groupBy("s", "t").agg(F.expr("sum(CASE WHEN opened THEN 1 << k ELSE 0 END)").alias("bits")).where("bits IN (5, 10)")
+    free = met.where("NOT opened").join(pattern, ["s", "t"], "left_semi").select("s", "t", "lid", "size").distinct()
+    support = nbr.join(mask.select(F.col("lid").alias("nid")), "nid", "left_semi").groupBy("lid").agg(F.count("*").alias("n"))
+    ranked = free.join(support, "lid", "left").groupBy("s", "t").agg(F.max_by("lid", F.expr("struct(coalesce(n, 0), -size, -lid)")).alias("lid"))
+    return mask.select("lid").unionAll(ranked.select("lid")).distinct()
+
+
+def counts(solid: DataFrame, occ: DataFrame, opened: DataFrame) -> DataFrame:
+    """One row: leaves, leaves inside, on either side of the boundary, and of the opened mask."""
+    marked = solid.select("lid", "inside").join(occ.select("lid", "occupancy"), "lid", "left").join(opened.select("lid", F.lit(True).alias("opened")), "lid", "left")
+    return marked.agg(F.count("*").alias("n_leaves"), F.count_if("inside").alias("n_inside"), F.count_if(F.col("occupancy") == 2).alias("n_boundary_inside"), F.count_if(F.col("occupancy") == 3).alias("n_boundary_outside"), F.count_if("opened").alias("n_opened"))

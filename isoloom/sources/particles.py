@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from isoloom.functions import scalar as S
@@ -29,13 +29,33 @@ def from_arrays(spark: SparkSession, positions, lengths) -> DataFrame:
     return spark.createDataFrame(frame, "pid bigint, x double, y double, z double, h double")
 
 
-def load(spark: SparkSession, path: str, family: str | None = None, smoothing_factor: float = 1.0) -> DataFrame:
-    """A Parquet snapshot; with a `family` column, one family of it (pushed down to the scan)."""
+def box_size(spark: SparkSession, path: str, given: float | None = None) -> float:
+    """The box's side: the one given, else the snapshot's `box` column, of a vector the largest; else an error."""
+    if given is not None:
+        return float(given)
+    df = spark.read.parquet(path)
+    kind = dict(df.dtypes).get("box")
+    row = df.where("box IS NOT NULL").selectExpr(("array_max(box)" if kind.startswith("array") else "box") + " AS b").first() if kind else None
+    if row is None or row["b"] is None:
+        raise ValueError("the snapshot has no box size: give one")
+    return float(row["b"])
+
+
+def load(spark: SparkSession, path: str, family: str | None = None, smoothing_factor: float = 1.0, box: float | None = None) -> DataFrame:
+    """A Parquet snapshot; with a `family` column, one family of it (pushed down to the scan).
+
+    Without a column `h` smoothing lengths are estimated from neighbours, for which the box's side is needed.
+    """
     if family is not None and family not in FAMILIES:
         raise ValueError(f"unknown particle family: {family}")
     df = spark.read.parquet(path)
     if family is not None and "family" in df.columns:
         df = df.where(F.col("family") == family)
+    if "h" not in df.columns:
+        if box is None:
+            raise ValueError("the snapshot has no smoothing lengths, and without a box size none can be estimated")
+        resolution = max(1, int((df.count() / 8) ** (1 / 3)))
+        df = estimate_lengths(df.select("pid", "x", "y", "z"), box, min(resolution, 1 << 20))
     return df.selectExpr("pid", "x", "y", "z", f"h * {S.num(smoothing_factor)} AS h")
 
 
@@ -72,6 +92,17 @@ def crop(p: DataFrame, center: tuple[float, float, float], extent: float, box: f
     return p.where(inside).selectExpr("pid", *[f"{a} - {S.num(v)} AS {a}" for a, v in zip("xyz", low)], "h")
 
 
+def centre_and_extent(low: str, high: str) -> tuple[str, str]:
+    """SQL of the middle and the extent of a box along an axis."""
+    return f"(({low}) + ({high})) / 2e0", f"({high}) - ({low})"
+
+
+def bin_max_h(p: DataFrame, low: float, width: float, resolution: int) -> DataFrame:
+    """Largest smoothing length of each bin, and in a row of null bins that of all."""
+    binned = p.selectExpr(*[f"{S.bin_of(a, low, width, resolution)} AS i{a}" for a in "xyz"], "h")
+    return binned.groupingSets([["ix", "iy", "iz"], []], "ix", "iy", "iz").agg(F.max("h").alias("max_h"))
+
+
 def tight_bounds(p: DataFrame, box: float) -> DataFrame:
     """One row: clamped minima of the supports and the side of their bounding cube."""
     bounds = p.agg(*[F.expr(f"greatest(min({a} - h), 0e0)").alias(f"{a}0") for a in "xyz"], *[F.expr(f"least(max({a} + h), {S.num(box)})").alias(f"{a}1") for a in "xyz"])
@@ -105,5 +136,6 @@ def estimate_lengths(p: DataFrame, domain: float, resolution: int, neighbours: i
         near = near.withColumn(f"b{a}", F.explode(F.array(*[F.col(f"b{a}") + d for d in (-1, 0, 1)])))
     pairs = binned.alias("p").join(near.alias("q"), ["bx", "by", "bz"]).where("p.pid <> q.pid")
     d = pairs.selectExpr("p.pid AS pid", f"{S.distance('p.x - q.x', 'p.y - q.y', 'p.z - q.z')} AS d")
-    kth = d.groupBy("pid").agg(F.expr(f"{S.num(gamma)} * element_at(array_sort(collect_list(d)), least({neighbours}, CAST(count(*) AS int)))").alias("h"))
+    near = d.withColumn("rank", F.row_number().over(Window.partitionBy("pid").orderBy("d"))).where(F.col("rank") <= neighbours)
+    kth = near.groupBy("pid").agg(F.expr(f"{S.num(gamma)} * max(d)").alias("h"))
     return p.drop("h").join(kth, "pid", "left").selectExpr("pid", "x", "y", "z", f"coalesce(h, {S.num(w)}) AS h")
