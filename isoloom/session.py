@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,7 +16,10 @@ LOCAL_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
+#: Folders that `stored` has written, in order.
+_FOLDERS: list[tuple[SparkSession, str]] = []
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "4g", **conf: str) -> SparkSession:
@@ -48,8 +53,36 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write a table that is read more than once to the shared folder and read it back."""
+    """Write a table that is read more than once to the shared folder and read it back.
+
+    Its folder goes when the process ends or `discard` is called.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/isoloom-{label}-{uuid.uuid4().hex}"
+    _FOLDERS.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def folders() -> int:
+    """How many folders `stored` has written so far: where `discard` can begin."""
+    return len(_FOLDERS)
+
+
+def discard(since: int = 0, keep: Iterable[int] = ()) -> None:
+    """Delete the folders written since then, but for those whose numbers are kept. Tables read from them are gone."""
+    kept = set(keep)
+    for i in range(since, len(_FOLDERS)):
+        spark, path = _FOLDERS[i]
+        if i not in kept and path:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _FOLDERS[i] = (spark, "")
+
+
+@atexit.register
+def _discard_at_end() -> None:
+    try:
+        discard()
+    except Exception:  # the session may have ended before
+        pass
