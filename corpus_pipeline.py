@@ -6,10 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isoloom import session
 from isoloom.llm import bpe, decontam, line_dedup, ngram_join, quality
 from isoloom.llm.common import shielded, table
 from isoloom.llm.queries import VOCABULARY
-from isoloom.session import stored
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,10 +75,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on `documents`; each stage's rows are written before the next reads them."""
+    """All stages on `documents`; each stage's rows are written before the next reads them, which ends the need of all
+    that was written before."""
     docs = table(spark, sf_dir, "documents")
+    begun = session.folders()
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = stored(docs, f"stage-{name}")
+            docs = session.stored(docs, f"stage-{name}")
+            session.discard(begun, keep=[session.folders() - 1])
     return docs
