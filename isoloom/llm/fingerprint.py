@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from isoloom.session import cut
 
@@ -25,7 +26,8 @@ LEAST_SHARE, MOST_SHARE = 0.002, 0.1
 LEAST_DOCS = 2
 SUBSETS = 16
 BROADCAST_TERMS = 2_000_000
-#: Rows of a range of ids on average, and ranges that a node of the search tree has.
+#: Rows of a range of ids on average, and ranges that a node of the search tree has. There are FAN**3 ranges at most; beyond
+#: FAN**3 * CHUNK_ROWS rows they grow, which costs sorting within a range (spilled to disk), not memory.
 CHUNK_ROWS, FAN = 500, 64
 
 
@@ -75,8 +77,11 @@ def fingerprints(docs: DataFrame, text: str = "text", id_column: str = "doc_id",
     each row of `docs`. The edited text has its last n_chars / 4 code points replaced by the first as many
     (or all) of the next document in id order; the last row's next is the first. A null text is empty;
     texts without terms of the lexicon only match equal texts. Rows of one id are ordered by text. An
-    empty table gives no rows; null ids come first.
+    empty table gives no rows; null ids come first. Ids are numbers: others raise TypeError, as ranges of
+    them are cut at quantiles.
     """
+    if not isinstance(docs.schema[id_column].dataType, T.NumericType):
+        raise TypeError(f"fingerprints need numeric ids, not {docs.schema[id_column].dataType.simpleString()}")
     base = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     terms_kept = cut(lexicon(base))
     few = terms_kept.count() <= broadcast_terms

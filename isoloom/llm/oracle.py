@@ -65,7 +65,7 @@ ks AS (SELECT DISTINCT k FROM bwin),
 dwin AS (SELECT doc_id, k, unnest(range(1, len(ws) - k + 2)) AS pos, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS win FROM dw, ks WHERE len(ws) >= k),
 hit AS (SELECT doc_id, pos, k, item_id FROM dwin JOIN bwin USING (k, win)),
 words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + k)) AS p FROM hit) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS names FROM (SELECT DISTINCT doc_id, item_id::varchar AS i FROM hit) GROUP BY doc_id)
+items AS (SELECT doc_id, count(i) AS n_items, string_agg(i, ',' ORDER BY i) AS names FROM (SELECT DISTINCT doc_id, item_id::varchar AS i FROM hit) GROUP BY doc_id)
 SELECT d.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """

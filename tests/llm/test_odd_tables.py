@@ -75,6 +75,8 @@ def test_shards_and_fingerprints_of_odd_rows(odd):
     assert sharding.shard(odd.limit(0), 3).collect() == []
     found = fingerprint.fingerprints(odd).collect()
     assert len(found) == len(ROWS) and fingerprint.fingerprints(odd.limit(0)).collect() == []
+    with pytest.raises(TypeError):
+        fingerprint.fingerprints(odd.withColumn("doc_id", F.col("doc_id").cast("string")))
 
 
 def test_pages(spark):
