@@ -142,7 +142,7 @@ columns("fn10_crossing", P.orders_view, P_ORDER, plain.CROSSING, _nine(S.crossin
 _V8 = ["x", "y", "z", "x * y", "y * z", "x + z", "z - x", "h"]
 columns("fn11_straddle", P.orders_view, P_ORDER, plain.STRADDLE, f"{S.straddles(_V8, '2.5e0')} AS straddles")
 columns("fn12_sign_mask", P.orders_view, P_ORDER, plain.MASK, f"{S.sign_mask(_V8, '2e0')} AS mask")
-columns("fn16_trilinear_sign", P.orders_view, P_ORDER, plain.TRILINEAR, _nine(S.trilinear(_V8, "0.25e0", "0.5e0", "0.75e0"), "v"), f"round({S.trilinear(_V8, '0.25e0', '0.5e0', '0.75e0')}, 9) >= 2e0 AS inside")
+columns("fn16_trilinear_sign", P.orders_view, P_ORDER, plain.TRILINEAR, _nine(S.trilinear(_V8, "0.337e0", "0.519e0", "0.731e0"), "v"), f"round({S.trilinear(_V8, '0.337e0', '0.519e0', '0.731e0')}, 9) >= 2e0 AS inside")
 columns("fn17_neighbour_key", P.orders_view, P_ORDER, plain.NEIGHBOUR, *[f"{S.neighbour_key('(pid % 512)', '3', i, d, 1)} AS k{i}{'ab'[d > 0]}" for i in range(3) for d in (-1, 1)])
 
 

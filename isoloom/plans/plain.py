@@ -62,7 +62,7 @@ def lerp(v: list[str], t: list[str]) -> str:
     return v[0]
 
 
-_tri = lerp(_V8, ["0.25e0", "0.5e0", "0.75e0"])
+_tri = lerp(_V8, ["0.337e0", "0.519e0", "0.731e0"])
 TRILINEAR = [nine(_tri, "v"), f"round({_tri}, 9) >= 2e0 AS inside"]
 
 
