@@ -22,7 +22,9 @@ Equal sets are found first by their keys, and one document of each class goes on
 one binary row for each block of documents and bucket, with ids as byte planes of differences. A bucket yields
 runs of documents with a common signature, each once: runs of two as pairs, longer ones as such, not as their pairs.
 First every document is verified against the mate it shares most signatures with; components of these links shrink
-the runs, and only pairs of different components are then verified.
+the runs. In large runs that still hold several components, one member after another of the largest is tried with those of
+others, which shrinks a group of near copies of which only a part are links to about as many pairs as members; only
+what is then left of different components is paired.
 Each set has a parity sketch: at least as many bits as shingles, each the parity of the shingles that fall on it.
 Two sketches, the longer one folded, differ in at most as many bits as the sets do in shingles, so pairs with more
 differing bits than a link allows are left out of verification, and no link is.
@@ -55,6 +57,9 @@ PROBE, OWN, HOT = 1, 2, 4
 SKETCH = 8
 #: Partners of a document that are compared with one copy of its text.
 CHUNK = 64
+#: In runs of LARGE members and more, members of other components are tried with one member after another of the largest
+#: component, ROUNDS of them at most, before what is left is paired.
+LARGE, ROUNDS = 128, 3
 #: Sets whose signatures are made at once.
 SETS = 64
 #: Up to so many rows (24 bytes each at most) are broadcast to pick texts; beyond, the join shuffles.
@@ -397,6 +402,27 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, t: int) -> DataFrame:
     return ready.mapInArrow(run, "a long, b long")
 
 
+def placed(member: DataFrame, component: DataFrame) -> DataFrame:
+    """Members `doc` of runs with their component, their own number where they have no link."""
+    return member.join(component.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+
+
+def torn(member: DataFrame) -> DataFrame:
+    """The members of runs that hold more than one component."""
+    split = member.groupBy("r1", "r2").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("r1", "r2")
+    return member.join(split, ["r1", "r2"], "left_semi")
+
+
+def merged(component: DataFrame, links: DataFrame) -> DataFrame:
+    """`(node, component)` with the components that further links join made one."""
+    of = lambda side: component.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+    lifted = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    above = stored(connected_components(lifted), "join-above")
+    up = above.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    raised = component.join(up, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    return stored(raised.unionByName(above.join(component, "node", "left_anti")), "join-components")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_id", width: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """`(id, n_shingles, component_id)`, one row for each row of `docs`.
 
@@ -434,23 +460,32 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_i
     links = stored(verify(best, base, width, threshold), "join-links")
     component = stored(connected_components(links), "join-components")
 
+    member = runs.select("r1", "r2", "hot", F.size("docs").alias("m"), F.explode(F.arrays_zip("docs", "common", "flags")).alias("e")).select("r1", "r2", "hot", "m", F.col("e.docs").alias("doc"), "e.common", F.col("e.flags").alias("flag"))
+    tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    large = stored(torn(placed(member.where(F.col("m") >= LARGE), component)).join(sketches, "doc"), "join-large")
+    entries = large.drop("component")
+    for k in range(0 if large.isEmpty() else ROUNDS):
+        parts = large.groupBy("r1", "r2", "component").agg(F.count("*").alias("n"), F.min_by(F.struct("doc", "component", "size", "common", "sketch"), F.xxhash64(F.lit(k), "doc")).alias("x"))
+        x = parts.groupBy("r1", "r2").agg(F.max_by("x", F.struct("n", "component")).alias("x"))
+        star = large.alias("y").join(x, ["r1", "r2"]).where(f"y.component <> x.component AND {can_link('x', 'y', threshold)} AND {alike('x', 'y', threshold)}")
+        star = star.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
+        star = stored(star.join(tried, ["a", "b"], "left_anti"), "join-star")
+        links = stored(verify(star, base, width, threshold), "join-links")
+        if links.isEmpty():
+            break
+        component = merged(component, links)
+        large = placed(entries, component)
+        tried = tried.unionAll(star)
+    member = stored(torn(placed(member, component)).join(sketches, "doc"), "join-torn")
+
     of = lambda side: component.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
     apart = mates.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-    member = runs.select("r1", "r2", "hot", F.explode(F.arrays_zip("docs", "common", "flags")).alias("m")).select("r1", "r2", "hot", F.col("m.docs").alias("doc"), "m.common", F.col("m.flags").alias("flag"))
-    member = member.join(component.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    torn = member.groupBy("r1", "r2").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("r1", "r2")
-    member = stored(member.join(torn, ["r1", "r2"], "left_semi").join(sketches, "doc"), "join-torn")
     one, two = member.alias("x"), member.drop("hot").alias("y")
     rule = F.expr(f"x.r1 = y.r1 AND x.r2 = y.r2 AND x.doc < y.doc AND x.component <> y.component AND ((x.flag | y.flag) & {PROBE | OWN}) = {PROBE | OWN} AND {can_link('x', 'y', threshold)} AND {alike('x', 'y', threshold)}")
     rest = apart.unionAll(one.join(two, rule).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))).distinct()
-    rest = stored(rest.join(best, ["a", "b"], "left_anti"), "join-rest")
+    rest = stored(rest.join(tried, ["a", "b"], "left_anti"), "join-rest")
     if not rest.isEmpty():
-        more = verify(rest, base, width, threshold)
-        lifted = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-        above = stored(connected_components(lifted), "join-above")
-        up = above.select(F.col("node").alias("component"), F.col("component").alias("top"))
-        raised = component.join(up, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
-        component = stored(raised.unionByName(above.join(component, "node", "left_anti")), "join-components")
+        component = merged(component, verify(rest, base, width, threshold))
 
     classes = classes.join(component, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("class"), "copies", "component").where("copies > 1 OR component IS NOT NULL").select("k1", "k2", "class")
     out = rows.select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("k1")).alias("k1"), "k2").join(classes, ["k1", "k2"], "left")
